@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 URN_PREFIX = "urn:btih:"
@@ -35,7 +35,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def ipv4_hex(ip: Column) -> Column:
     """8 hex digits of a dotted quad, or null."""
-    digits = F.transform(F.split(ip, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0"))
+    digits = F.transform(F.split(ip, r"\."), lambda o: F.lpad(F.lower(F.hex(o.try_cast("int"))), 2, "0"))
     ok = ip.rlike(r"^(0*(25[0-5]|2[0-4]\d|1?\d?\d)\.){3}0*(25[0-5]|2[0-4]\d|1?\d?\d)$")
     return F.when(ok, F.array_join(digits, ""))
 
@@ -86,22 +86,67 @@ def address_key(ip: Column | str) -> Column:
     )
 
 
-def _port_hex(text: Column) -> Column:
-    port = F.when(text.rlike(r"^0*\d{1,5}$"), text.cast("int"))
-    return let(port, lambda p: F.when(p.between(0, 65535), F.lpad(F.lower(F.hex(p)), 4, "0")))
-
-
-def socket_key(addr: Column | str) -> Column:
-    """A peer in socket form (``ip:port`` or ``[v6]:port``) as one comparable
-    text: the address key, a dash and four hex digits of the port."""
-
-    def keyed(a: Column) -> Column:
-        v6 = F.concat(F.lit("6"), ipv6_hex(F.regexp_extract(a, r"^\[([^\]]*)\]:\d+$", 1)))
-        v4 = F.concat(F.lit("4"), let(F.substring_index(a, ":", 1), ipv4_hex))
-        ip = F.when(a.startswith("["), v6).when(a.rlike("^[^:]+:[0-9]+$"), v4)
-        return F.concat(ip, F.lit("-"), let(F.substring_index(a, ":", -1), _port_hex))
-
-    return let(F.trim(_col(addr)), keyed)
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once per row. A filter on a plain
+    computed column is pushed below it and computes it again; nothing is pushed
+    through a generator."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(made)).alias("__made")).select("*", "__made.*").drop("__made")
+
+
+def _four_digit_groups(text: Column) -> Column:
+    """'db8:1' -> '0db80001', without a lambda, so that it stays in generated code."""
+    longer = F.regexp_replace(F.concat(F.lit(":"), text), ":([0-9a-f]{1,4})(?=:|$)", ":000$1")
+    return F.translate(F.regexp_replace(longer, ":0*([0-9a-f]{4})(?=:|$)", "$1"), ":", "")
+
+
+def with_socket_key(df: DataFrame, source: Column | str, name: str) -> DataFrame:
+    """Adds a peer in socket form (``ip:port`` or ``[v6]:port``) as one
+    comparable text: the address key, a dash and four hex digits of the port.
+    Null for null and for what is no socket address. The steps are separate
+    projections, so that no step is computed twice."""
+    c = F.col
+    steps = [
+        {"__a": F.trim(_col(source))},
+        {
+            "__ip6": F.when(c("__a").startswith("["), F.lower(F.regexp_extract("__a", r"^\[([0-9A-Fa-f:.]+)\]:[0-9]{1,9}$", 1))),
+            "__q": F.split(F.regexp_extract("__a", r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+):[0-9]{1,9}$", 1), r"\."),
+            "__port": F.substring_index("__a", ":", -1).try_cast("int"),
+        },
+        {
+            "__o": F.when(F.size("__q") == 4, F.array(*[c("__q")[i].try_cast("int") for i in range(4)])),
+            "__cut": F.when(~c("__ip6").rlike("[0-9a-f]{5}|:::|::.*::|^:[^:]|[^:]:$"), F.instr("__ip6", "::")),
+        },
+        {
+            "__k4": F.when(
+                c("__o")[0].between(0, 255) & c("__o")[1].between(0, 255) & c("__o")[2].between(0, 255) & c("__o")[3].between(0, 255),
+                F.hex(c("__o")[0] * F.lit(1 << 24).cast("long") + c("__o")[1] * 65536 + c("__o")[2] * 256 + c("__o")[3]),
+            ),
+            "__l": F.when((c("__ip6") != "") & c("__cut").isNotNull(), _four_digit_groups(F.substring_index("__ip6", "::", 1))),
+            "__r": F.when(c("__cut") > 0, _four_digit_groups(F.expr("substring(__ip6, __cut + 2)"))).otherwise(F.lit("")),
+        },
+        {"__fill": F.lit(32) - F.length("__l") - F.length("__r")},
+        {
+            "__k6": F.when(c("__ip6").contains("."), ipv6_hex(c("__ip6"))).when(
+                F.when(c("__cut") > 0, c("__fill") >= 4).otherwise(c("__fill") == 0),
+                F.concat("__l", F.repeat(F.lit("0"), c("__fill")), "__r"),
+            ),
+        },
+        {
+            name: F.when(
+                c("__port").between(0, 65535),
+                F.concat(
+                    F.when(c("__k6").rlike("^[0-9a-f]{32}$"), F.concat(F.lit("6"), c("__k6")))
+                    .when(c("__k4").isNotNull(), F.concat(F.lit("4"), F.lpad(F.lower(c("__k4")), 8, "0"))),
+                    F.lit("-"), F.lpad(F.lower(F.hex("__port")), 4, "0"),
+                ),
+            )
+        },
+    ]
+    made = [n for step in steps for n in step if n != name]
+    for step in steps:
+        df = df.select("*", *[e.alias(n) for n, e in step.items()])
+    return df.drop(*made)
 
 
 def address_family(key: Column | str) -> Column:

@@ -26,6 +26,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftnet.functions.identity import once
+
 #: Bits of the permuted head; its highest QUOTIENT_BITS choose the shard.
 HEAD_BITS = 60
 QUOTIENT_BITS = 20
@@ -65,30 +67,25 @@ def delivery_order(received_at: Column, delivery_id: Column) -> Column:
 
 
 def _keyed(df: DataFrame, hex_id: Column, received_at: Column, delivery_id: Column) -> DataFrame:
-    return df.select("*", hex_id.alias("__id"), delivery_order(received_at, delivery_id).alias("__order")).select(
-        "*", *identifier_columns(F.col("__id"))
-    ).drop("__id")
+    identified = once(df, __id=hex_id, __order=delivery_order(received_at, delivery_id))
+    return identified.select("*", *identifier_columns(F.col("__id")))
 
 
 def _kept(keyed: DataFrame) -> DataFrame:
-    return (
-        keyed.where(F.col("__rem_tail").isNotNull())
-        .groupBy(*_KEY)
-        .agg(F.min("__order").alias("__order"))
-    )
+    return keyed.where(F.col("__id").isNotNull()).groupBy(*_KEY).agg(F.min("__order").alias("__order"))
 
 
 def surplus_deliveries(df: DataFrame, hex_id: Column, received_at: Column, delivery_id: Column) -> DataFrame:
     """Rows of df that repeat a message already kept, with df's columns."""
-    keyed = _keyed(df, hex_id, received_at, delivery_id).where(F.col("__rem_tail").isNotNull())
+    keyed = _keyed(df, hex_id, received_at, delivery_id).where(F.col("__id").isNotNull())
     kept = _kept(keyed)
-    return keyed.join(kept, [*_KEY, "__order"], "left_anti").drop(*_KEY, "__order")
+    return keyed.join(kept, [*_KEY, "__order"], "left_anti").drop(*_KEY, "__order", "__id")
 
 
 def keep_one(df: DataFrame, hex_id: Column, received_at: Column, delivery_id: Column) -> DataFrame:
     """One row per message (its first delivery), and the rows without identifier."""
     keyed = _keyed(df, hex_id, received_at, delivery_id)
-    named = keyed.where(F.col("__rem_tail").isNotNull())
+    named = keyed.where(F.col("__id").isNotNull())
     first = named.join(_kept(keyed), [*_KEY, "__order"], "left_semi").dropDuplicates([*_KEY, "__order"])
-    rest = keyed.where(F.col("__rem_tail").isNull())
-    return first.unionByName(rest).drop(*_KEY, "__order")
+    rest = keyed.where(F.col("__id").isNull())
+    return first.unionByName(rest).drop(*_KEY, "__order", "__id")

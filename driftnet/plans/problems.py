@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftnet.functions.identity import canonical_hash, socket_key
+from driftnet.functions.identity import canonical_hash, once, with_socket_key
 from driftnet.operators.delivery import hex_of_long, keep_one, surplus_deliveries
 from driftnet.operators.nested import flatten, subtype_tables
 from driftnet.operators.skew import hash_profile
@@ -15,9 +15,8 @@ from driftnet.sources.tables import table
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both kinds of message with a fixed-width hex identifier: kind, hash,
     address and port (zero-filled for records), time."""
-    a = table(spark, sf_dir, "announces").select(
-        F.lit("announces").alias("src"), "delivery_id", "received_at",
-        canonical_hash("info_hash").alias("h"), socket_key("peer_addr").alias("peer"),
+    a = with_socket_key(table(spark, sf_dir, "announces"), "peer_addr", "peer").select(
+        F.lit("announces").alias("src"), "delivery_id", "received_at", canonical_hash("info_hash").alias("h"), "peer",
         F.unix_micros("discovered_at").alias("at"),
     )
     t = table(spark, sf_dir, "torrents").select(
@@ -45,8 +44,9 @@ def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_announces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "announces").select(
-        canonical_hash("info_hash").alias("info_hash"), socket_key("peer_addr").alias("peer"), "sensor", "discovered_at",
+    a = with_socket_key(table(spark, sf_dir, "announces"), "peer_addr", "peer")
+    return once(a, __h=canonical_hash("info_hash")).select(
+        F.col("__h").alias("info_hash"), "peer", "sensor", "discovered_at",
         F.floor((F.unix_micros("received_at") - F.unix_micros("discovered_at")) / 1000000).cast("long").alias("delay_s"),
     )
 
