@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftnet.functions.identity import address_family, canonical_hash, with_socket_key
-from driftnet.llm import distinct, heavy
+from driftnet.llm import distinct, heavy, leakage
 from driftnet.sources.tables import table
 
 
@@ -34,8 +34,25 @@ def p2_top_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.top_values(a, canonical_hash("info_hash"), 20).select(F.col("value").alias("info_hash"), F.col("n").alias("announces"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and item that share at least 12 consecutive words."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leakage.leaked_passages(docs, items, verbatim=True).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: documents with a passage at least 0.8 similar, and the windows in them."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    links = leakage.leaked_passages(docs, items)
+    return links.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("windows").alias("windows"), F.sum((F.col("similarity") == 1).cast("long")).alias("with_verbatim")
+    )
+
+
 QUERIES = {
     "p1_distinct_counts": p1_distinct_counts,
     "p2_found": p2_found,
     "p2_top_hashes": p2_top_hashes,
+    "p8_found": p8_found,
+    "p8_leaked_items": p8_leaked_items,
 }
