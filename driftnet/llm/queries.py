@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftnet.functions.identity import address_family, canonical_hash, with_socket_key
-from driftnet.llm import distinct, heavy, leakage
+from driftnet.llm import distinct, heavy, leakage, mixing
 from driftnet.sources.tables import table
 
 
@@ -49,10 +49,27 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.count_once(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn for the target mixture, in their global order."""
+    return mixing.mix(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of tokens that each source reaches in the mixture."""
+    counted, targets = _counted(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(counted, mixing.mix(counted, targets), targets)
+
+
 QUERIES = {
     "p1_distinct_counts": p1_distinct_counts,
     "p2_found": p2_found,
     "p2_top_hashes": p2_top_hashes,
     "p8_found": p8_found,
     "p8_leaked_items": p8_leaked_items,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
 }
