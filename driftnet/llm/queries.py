@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftnet.functions.identity import address_family, canonical_hash, with_socket_key
-from driftnet.llm import distinct, heavy, leakage, mixing
+from driftnet.llm import distinct, heavy, leakage, mixing, visual
 from driftnet.sources.tables import table
 
 
@@ -34,6 +34,29 @@ def p2_top_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.top_values(a, canonical_hash("info_hash"), 20).select(F.col("value").alias("info_hash"), F.col("n").alias("announces"))
 
 
+def torrent_texts(spark: SparkSession, sf_dir: str, path: Column) -> DataFrame:
+    """(delivery_id, field, file_ord, text): names, and of each file what path
+    makes of x.path. Null texts are left out."""
+    t = table(spark, sf_dir, "torrents")
+    name = t.select("delivery_id", F.lit("name").alias("field"), F.lit(-1).alias("file_ord"), F.col("name").alias("text"))
+    files = t.select("delivery_id", F.posexplode("files").alias("file_ord", "x"))
+    paths = files.select("delivery_id", F.lit("path").alias("field"), "file_ord", path.alias("text"))
+    return name.unionByName(paths).where(F.col("text").isNotNull())
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name or first part of a path that looks like a title but is written otherwise."""
+    texts = torrent_texts(spark, sf_dir, F.substring_index("x.path", "/", 1))
+    found = visual.recognised(texts, table(spark, sf_dir, "titles")).where(F.col("text") != F.col("title"))
+    return found.select("delivery_id", "field", "file_ord", "title_id").distinct()
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of each distinct name and path."""
+    texts = torrent_texts(spark, sf_dir, F.col("x.path"))
+    return visual.consistent_forms(texts).select("text", "form")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and item that share at least 12 consecutive words."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
@@ -68,6 +91,8 @@ QUERIES = {
     "p1_distinct_counts": p1_distinct_counts,
     "p2_found": p2_found,
     "p2_top_hashes": p2_top_hashes,
+    "p5_found": p5_found,
+    "p5_forms": p5_forms,
     "p8_found": p8_found,
     "p8_leaked_items": p8_leaked_items,
     "p9_mixture": p9_mixture,
