@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftnet.functions.identity import address_family, canonical_hash, with_socket_key
-from driftnet.llm import distinct, heavy, leakage, mixing, visual
+from driftnet.llm import distinct, encoding, heavy, leakage, mixing, visual
 from driftnet.sources.tables import table
 
 
@@ -57,6 +57,17 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual.consistent_forms(texts).select("text", "form")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each name and whole path that shows characters of a wrong encoding."""
+    texts = torrent_texts(spark, sf_dir, F.col("x.path"))
+    return texts.join(encoding.garbled_texts(texts), "text", "left_semi").select("delivery_id", "field", "file_ord").distinct()
+
+
+def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct garbled text and its original, where that can be recovered."""
+    return encoding.garbled_texts(torrent_texts(spark, sf_dir, F.col("x.path"))).select("text", "restored")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and item that share at least 12 consecutive words."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
@@ -93,6 +104,8 @@ QUERIES = {
     "p2_top_hashes": p2_top_hashes,
     "p5_found": p5_found,
     "p5_forms": p5_forms,
+    "p7_found": p7_found,
+    "p7_restored": p7_restored,
     "p8_found": p8_found,
     "p8_leaked_items": p8_leaked_items,
     "p9_mixture": p9_mixture,
