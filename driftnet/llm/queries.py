@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftnet.functions.identity import address_family, canonical_hash, with_socket_key
-from driftnet.llm import distinct, encoding, heavy, leakage, mixing, visual
+from driftnet.llm import abuse, distinct, encoding, heavy, leakage, mixing, visual
 from driftnet.sources.tables import table
 
 
@@ -98,6 +98,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(counted, mixing.mix(counted, targets), targets)
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = abuse.fit_model(docs, table(spark, sf_dir, "content_labels"))
+    return abuse.score_documents(docs.select("doc_id", "source", "text"), model)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with abusive, hateful or sexually explicit language."""
+    return _scored(spark, sf_dir).where("flagged").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with such language per source."""
+    return abuse.rates_by_source(_scored(spark, sf_dir))
+
+
 QUERIES = {
     "p1_distinct_counts": p1_distinct_counts,
     "p2_found": p2_found,
@@ -110,4 +126,6 @@ QUERIES = {
     "p8_leaked_items": p8_leaked_items,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
