@@ -129,3 +129,5 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
+
+SQL: dict[str, str] = {}
