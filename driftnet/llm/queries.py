@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftnet.functions.identity import address_family, canonical_hash, with_socket_key
 from driftnet.llm import abuse, distinct, encoding, heavy, leakage, mixing, visual
+from driftnet.plans.sqltext import ANNOUNCES
 from driftnet.sources.tables import table
 
 
@@ -130,4 +131,26 @@ QUERIES = {
     "p10_rates": p10_rates,
 }
 
-SQL: dict[str, str] = {}
+_POSITION = "CASE WHEN x = 0 THEN 39 ELSE least(39, bit_count((x & -x) - 1)) END"
+_WORDS = r"regexp_extract_all(lower(regexp_replace(text, '[\x{ad}\x{34f}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]', '', 'g')), '[\pL\p{Nd}]+')"
+_WINDOWS = "unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i : i + 11], ' ')))"
+
+SQL: dict[str, str] = {
+    # the same bitmaps, slice by slice, from the hex digits of MD5
+    "p1_distinct_counts": f"""WITH {ANNOUNCES}, v AS (
+    SELECT strftime(discovered_at, '%Y-%m-%d') AS day, sensor, CAST(left(peer, 1) AS INT) AS family, unnest([{{'f': 'hashes', 'v': h}}, {{'f': 'peers', 'v': peer}}]) AS u FROM ann
+  ), d AS (SELECT DISTINCT day, sensor, family, u.f AS f, CAST('0x' || substr(md5(u.v), 1, 15) AS BIGINT) AS x FROM v WHERE u.v IS NOT NULL
+  ), b AS (SELECT DISTINCT day, sensor, family, f, {_POSITION} AS slice, x >> 48 AS bit FROM d
+  ), g AS (SELECT CASE WHEN m & 4 = 0 THEN day END AS day, CASE WHEN m & 2 = 0 THEN sensor END AS sensor, CASE WHEN m & 1 = 0 THEN family END AS family, m AS "grouping", f, slice,
+    count(DISTINCT bit) AS n FROM b, range(8) t(m) GROUP BY ALL
+  ), s AS (SELECT day, sensor, family, "grouping", f, slice, n, max(CASE WHEN n > {distinct.SET_MAX} THEN slice + 1 ELSE 0 END) OVER (PARTITION BY day, sensor, family, "grouping", f) AS base FROM g
+  ), e AS (SELECT day, sensor, family, "grouping", f, CAST(round(sum({distinct.SLICE_BITS} * ln({distinct.SLICE_BITS} / ({distinct.SLICE_BITS} - least(n, {distinct.SLICE_BITS - 1}))) ORDER BY slice)
+      FILTER (WHERE slice >= base) * pow(2, any_value(base))) AS BIGINT) AS est FROM s GROUP BY ALL)
+  SELECT day, sensor, family, CAST("grouping" AS INT) AS "grouping", coalesce(max(est) FILTER (WHERE f = 'hashes'), 0) AS hashes, coalesce(max(est) FILTER (WHERE f = 'peers'), 0) AS peers,
+  CAST({distinct.ERROR_BOUND} AS DOUBLE) AS error_bound FROM e GROUP BY day, sensor, family, "grouping\"""",
+    "p2_found": f"WITH {ANNOUNCES} SELECT h AS info_hash FROM ann WHERE h IS NOT NULL GROUP BY 1 HAVING count(*) * 1000 >= 5 * (SELECT count(*) FROM announces)",
+    "p2_top_hashes": f"WITH {ANNOUNCES}, n AS (SELECT h AS info_hash, count(*) AS announces FROM ann WHERE h IS NOT NULL GROUP BY 1) SELECT * FROM n QUALIFY rank() OVER (ORDER BY announces DESC) <= 20",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+  dw AS (SELECT DISTINCT doc_id, {_WINDOWS} AS p FROM d WHERE len(w) > 11), iw AS (SELECT DISTINCT item_id, {_WINDOWS} AS p FROM i WHERE len(w) > 11)
+  SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (p)""",
+}
