@@ -9,6 +9,7 @@ from driftnet.functions.identity import canonical_hash, once, with_socket_key
 from driftnet.operators.delivery import hex_of_long, keep_one, surplus_deliveries
 from driftnet.operators.nested import flatten, subtype_tables
 from driftnet.operators.skew import hash_profile
+from driftnet.plans.sqltext import ANNOUNCES, TORRENTS
 from driftnet.sources.tables import table
 
 
@@ -81,3 +82,18 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_kept": p6_kept,
 }
+
+_MESSAGES = f"""{ANNOUNCES}, {TORRENTS}, msg AS (
+  SELECT 'announces' AS src, delivery_id, received_at, h || '/' || peer || '/' || epoch_us(discovered_at)::VARCHAR AS message FROM ann
+  UNION ALL SELECT 'torrents', delivery_id, received_at, h || '/' || timestamp::VARCHAR FROM tor
+), ord AS (SELECT *, row_number() OVER (PARTITION BY src, message ORDER BY received_at NULLS LAST, delivery_id) AS rn FROM msg)"""
+
+SQL = {
+    "p4_hash_profile": f"""WITH {ANNOUNCES}, s AS (SELECT h, sensor, count(*) AS n FROM ann WHERE h IS NOT NULL AND sensor IS NOT NULL GROUP BY ALL),
+  m AS (SELECT h, sensor FROM s QUALIFY row_number() OVER (PARTITION BY h ORDER BY n DESC, sensor) = 1)
+  SELECT a.h AS info_hash, count(*) AS announces, count(DISTINCT peer) AS peers, epoch_us(min(discovered_at)) AS first_us, epoch_us(max(discovered_at)) AS last_us,
+  any_value(m.sensor) AS top_sensor, quantile_disc(delay_s, 0.5) AS delay_p50, quantile_disc(delay_s, 0.9) AS delay_p90
+  FROM ann a LEFT JOIN m ON a.h = m.h WHERE a.h IS NOT NULL GROUP BY a.h""",
+    "p6_found": f"WITH {_MESSAGES} SELECT DISTINCT src, delivery_id FROM ord WHERE message IS NOT NULL AND rn > 1",
+    "p6_kept": f"WITH {_MESSAGES} SELECT src, delivery_id FROM ord WHERE message IS NULL OR rn = 1",
+}
