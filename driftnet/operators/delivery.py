@@ -16,7 +16,8 @@ Defined results
 - the kept delivery has the earliest arrival, then the smallest delivery number;
   a null arrival or delivery number sorts last;
 - rows equal in message, arrival and delivery number are one delivery;
-- an empty table gives an empty result; extra columns are carried along.
+- an empty table gives an empty result; extra columns are carried along, those
+  called like the operator's own (with two leading underscores) are left out.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def delivery_order(received_at: Column, delivery_id: Column) -> Column:
 
 
 def _keyed(df: DataFrame, hex_id: Column, received_at: Column, delivery_id: Column) -> DataFrame:
-    identified = once(df, __id=hex_id, __order=delivery_order(received_at, delivery_id))
+    identified = once(df.drop("__made", "__id", "__order", *_KEY), __id=hex_id, __order=delivery_order(received_at, delivery_id))
     return identified.select("*", *identifier_columns(F.col("__id")))
 
 
