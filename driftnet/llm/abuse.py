@@ -245,7 +245,8 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with score and flagged instead of the text column."""
+    """docs with score and flagged instead of the text column; columns that are
+    called so are replaced."""
     state = docs.sparkSession.sparkContext.broadcast(model and (*model.classes, model.threshold))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +257,7 @@ def score_documents(docs: DataFrame, model: Model | None, text: str = "text") ->
             flags = [bool(own) and v >= own.threshold for v in x]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.float64()), pa.array(flags, pa.bool_())], names=[*batch.schema.names[:-1], "score", "flagged"])
 
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c.lower() not in (text.lower(), "score", "flagged")]
     schema = docs.select(*keep).schema.add("score", "double").add("flagged", "boolean")
     return docs.select(*keep, text).mapInArrow(run, schema)
 

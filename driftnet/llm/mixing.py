@@ -52,7 +52,7 @@ def with_token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKE
             cols = [*batch.columns[:-1], pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "n_tokens"])
 
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c.lower() not in (text.lower(), "n_tokens")]
     schema = docs.select(*keep).schema.add("n_tokens", "long")
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -106,7 +106,7 @@ def _uniform(*cols: Column) -> Column:
 
 
 def mix(counted: DataFrame, targets: DataFrame, key: str = "doc_id", total: float | None = None, seed: int = SEED) -> DataFrame:
-    """The drawn copies: columns of counted, ``copy`` (from 1) and ``position``,
+    """The drawn copies: columns of counted (those called like an added one are replaced), ``copy`` (from 1) and ``position``,
     a uniform number by which the rows are globally ordered. counted has source
     and n_tokens and is read twice."""
     listed = targets.groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("c"))
@@ -119,6 +119,7 @@ def mix(counted: DataFrame, targets: DataFrame, key: str = "doc_id", total: floa
     mean = rates(sizes, wanted, total)
     rows = [(s, poisson_steps(mean[s], c or 0)) for s, _, c in wanted]
     plan = counted.sparkSession.createDataFrame(rows, "source string, steps array<double>")  # a row per listed source
+    counted = counted.drop("steps", "copy", "position", "__n")
     drawn = counted.where(F.col("n_tokens") > 0).join(F.broadcast(plan), "source")
     u = _uniform(F.lit(seed), F.col(key), F.col("source"))
     counts = drawn.select("*", F.size(F.filter("steps", lambda x: x <= u)).alias("__n")).where(F.col("__n") > 0)

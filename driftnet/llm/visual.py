@@ -143,9 +143,10 @@ def consistent_forms(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def recognised(rows: DataFrame, titles: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with title_id of each title that their text looks like. titles has
-    title_id and title."""
+    """Rows with title_id and title of each title that their text looks like;
+    columns of rows that are called so are replaced. titles has title_id and title."""
     names = titles.where(F.col("title").isNotNull()).select("title_id", "title")
     shown_titles = names.join(consistent_forms(names, "title").select(F.col("text").alias("title"), "form"), "title")
     alike = consistent_forms(rows, text).join(shown_titles, "form").select(F.col("text").alias("__text"), "title_id", "title")
+    rows = rows.drop("__text", "title_id", "title")
     return rows.join(alike, F.col(text) == F.col("__text")).drop("__text")
