@@ -7,11 +7,13 @@ word frequencies, so a rare expression is smoothed alike in either. A document's
 score is that of its worst segment, with the length raised by LENGTH_PRIOR words,
 so that a word or two is no verdict.
 
-Training: raters judge documents, not sentences. A model is first trained on all
-segments of documents rated hostile against those rated ordinary; then, ROUNDS
-times, only those segments of hostile documents stay hostile that a model of the
-other half of the documents finds so, which keeps chance contents out. The threshold is the one with the best F1 on a fifth of the rated
-documents that is held out. Documents rated both ways, or not at all, teach nothing.
+Training: raters judge documents, not sentences, and err. A model is first trained
+on all segments of documents rated hostile against those rated ordinary. Then,
+ROUNDS times, each half of the documents is judged by a model of the other half:
+segments of hostile documents stay hostile only if they score so, and clearly
+hostile ones of ordinary documents teach nothing. The threshold is the one with
+the best F1 on a fifth of the rated documents that is held out. Documents rated
+both ways, or not at all, are left out.
 
 The training sample is bounded: at most MAX_LABELLED rated documents, chosen by a
 hash of their id, are sent to the driver, and of each at most its first
@@ -45,9 +47,15 @@ MAX_TRAIN_CHARS = 20_000
 LENGTH_PRIOR = 3.0
 DISCOUNT = 0.75
 ROUNDS = 2
+#: A segment of an ordinary document was overlooked there by its rater from this score on.
+CLEARLY_HOSTILE = 0.75
+#: Uses that raters may overlook of any segment.
+OVERLOOKED_LEAST = 2
 #: A segment that ordinary documents use up to this often, against hostile ones, was overlooked there by raters; beyond it is ordinary.
 OVERLOOKED = 0.2
 DEFAULT_THRESHOLD = 1.0
+#: However wide the gap that the held-out documents leave: from here on a segment is hostile.
+MOST_THRESHOLD = 1.5
 #: A segment of a hostile document stays hostile in training from this score on.
 HOSTILE_FROM = 0.5
 #: What raters call hostile, and what they call ordinary.
@@ -59,7 +67,7 @@ _MEMO = 1_000_000
 _BREAK = re.compile(r"[.!?]+(?=\s|$)|[。！？…]+|[\r\n]+")
 _CJK = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}](?:[^\W_{_CJK}]|[*@$](?=[*@$\w]))*|[@$](?=[^\W_]{{2}})[^\W_]+")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_][-.*_·~+/ ]){2,}[^\W\d_](?![^\W_])")
+_SPELLED = re.compile(r"(?<![^\W_])[^\W\d_]([-.*_·~+/ ])(?:[^\W\d_]\1)+[^\W\d_](?![^\W_*])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _MIXED = re.compile("[A-Za-z][Ͱ-֏]|[Ͱ-֏][A-Za-z]|[！-～℀-⅏\U0001d400-\U0001d7ff]")
 # fixed values: digits and signs that stand for letters inside a word
@@ -73,9 +81,10 @@ def _word(token: str) -> str:
         return MASKED
     if token.isdigit():
         return NUMBER
-    if any(c.isalpha() for c in token):
-        return token.translate(_LETTERS)
-    return token
+    stem = token.rstrip("0123456789")
+    if stem != token:  # a numbered name
+        return stem + NUMBER
+    return token.translate(_LETTERS) if any(c.isalpha() for c in token) else token
 
 
 def _unspelled(m: re.Match) -> str:
@@ -183,14 +192,15 @@ class Model:
 
 
 def _best_threshold(scored: list[tuple[float, bool]]) -> float:
-    """The score with the best F1 (in the middle of the gap below it)."""
+    """The score with the best F1 (a third up the gap below it)."""
     scored = sorted(scored, reverse=True)
     positives, hits, best, at = sum(y for _, y in scored), 0, 0.0, DEFAULT_THRESHOLD
     for i, (x, y) in enumerate(scored):
         hits += y
         f1 = 2 * hits / (i + 1 + positives)
         if y and f1 >= best and x > 0:
-            best, at = f1, (x + max(0.0, scored[i + 1][0] if i + 1 < len(scored) else 0.0)) / 2
+            below = max(0.0, scored[i + 1][0]) if i + 1 < len(scored) else 0.0
+            best, at = f1, below + (x - below) / 3
     return at
 
 
@@ -205,21 +215,30 @@ def train(rated: list[tuple[str, bool]]) -> Model | None:
         hostile, ordinary = Counter(), Counter()
         for (bag, y), keep in zip(some, kept):
             for w in bag:
-                (hostile if y and (keep is None or w in keep) else ordinary)[w] += 1
-        for w, n in list(hostile.items()):
-            m = ordinary.get(w, 0)
-            if m > OVERLOOKED * n:  # what ordinary documents say too
-                ordinary[w] += hostile.pop(w)
-            elif m:  # what raters overlooked
-                del ordinary[w]
+                if keep is None:
+                    (hostile if y else ordinary)[w] += 1
+                elif w not in keep:
+                    ordinary[w] += 1
+                elif y:
+                    hostile[w] += 1
+                # else a rater overlooked it: it teaches nothing
         return Model(_Counts(hostile.items()), _Counts(ordinary.items()), DEFAULT_THRESHOLD)
 
     def learn(some: list) -> Model:
+        some = sorted(some, key=lambda d: d[1])  # both halves get their share of either kind
+        rated = {y: Counter(w for bag, z in some if bool(z) == y for w in bag) for y in (False, True)}
+        common = {w for w, n in rated[False].items() if n > OVERLOOKED * rated[True][w] + OVERLOOKED_LEAST}
         kept: list[set | None] = [None] * len(some)
         for _ in range(ROUNDS):
             # each half is judged by what the other half taught
             halves = [fit(some[1 - h :: 2], kept[1 - h :: 2]) for h in (0, 1)]
-            kept = [{w for w in bag if halves[i % 2].score_words(w) >= HOSTILE_FROM} if y else None for i, (bag, y) in enumerate(some)]
+            next_kept = [
+                {w for w in bag if w not in common and halves[i % 2].score_words(w) >= (HOSTILE_FROM if y else CLEARLY_HOSTILE)}
+                for i, (bag, y) in enumerate(some)
+            ]
+            if not any(k for k, (_, y) in zip(next_kept, some) if y):
+                break  # too few examples to tell segments apart
+            kept = next_kept
         return fit(some, kept)
 
     held_out = docs[::5]
@@ -227,7 +246,7 @@ def train(rated: list[tuple[str, bool]]) -> Model | None:
     scored = [(max((first.score_words(w) for w in bag), default=0.0), y) for bag, y in held_out]
     model = learn(docs)
     if any(y for _, y in scored) and not all(y for _, y in scored):
-        model.threshold = _best_threshold(scored)
+        model.threshold = min(_best_threshold(scored), MOST_THRESHOLD)
     return model
 
 
