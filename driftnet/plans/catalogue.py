@@ -418,7 +418,7 @@ def zero_size_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT delivery_id, total_size * f AS size, f FROM torrents, (VALUES (1), (1024), (1048576)) v(f) WHERE total_size IS NOT NULL)
-  SELECT delivery_id, f, CASE WHEN size < 1024 THEN printf('%.2f B', size) WHEN size < 1048576 THEN printf('%.2f KB', size / 1024) WHEN size < 1073741824 THEN printf('%.2f MB', size / 1048576)
+  SELECT delivery_id, f, CASE WHEN size < 1024 THEN printf('%.2f B', size::DOUBLE) WHEN size < 1048576 THEN printf('%.2f KB', size / 1024) WHEN size < 1073741824 THEN printf('%.2f MB', size / 1048576)
   WHEN size < 1099511627776 THEN printf('%.2f GB', size / 1073741824) ELSE printf('%.2f TB', size / 1099511627776) END AS shown FROM s""")
 def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "torrents").where(F.col("total_size").isNotNull())
