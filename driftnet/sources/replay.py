@@ -7,7 +7,7 @@ import datetime
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "recv_ts timestamp, remote_ip string, remote_port int, local_ip string, local_port int, data binary"
 NAME = "packet_replay"
@@ -47,30 +47,25 @@ class _Batch(DataSourceReader):
             yield from filter(None, map(_row, f))
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """A batch is the next file; its place in the sorted listing is the offset."""
+class _Stream(DataSourceStreamReader):
+    """A partition is a file, read where its task runs; the offset is the number
+    of files of the sorted listing that are done. Captures are kept."""
 
     def __init__(self, path: str):
         self.path = path
 
     def initialOffset(self) -> dict:
-        return {"file": 0}
+        return {"files": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = _files(self.path)[start["file"] : start["file"] + 1]
-        return self._rows(files), {"file": start["file"] + len(files)}
+    def latestOffset(self) -> dict:
+        return {"files": len(_files(self.path))}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(_files(self.path)[start["file"] : end["file"]])
+    def partitions(self, start: dict, end: dict) -> list[_Part]:
+        return [_Part(f) for f in _files(self.path)[start["files"] : end["files"]]]
 
-    @staticmethod
-    def _rows(files: list[str]) -> Iterator[tuple]:
-        for name in files:
-            with open(name) as f:
-                yield from filter(None, map(_row, f))
-
-    def commit(self, end: dict) -> None:
-        """Captures are kept."""
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        with open(partition.path) as f:
+            yield from filter(None, map(_row, f))
 
 
 class PacketReplay(DataSource):
@@ -86,5 +81,5 @@ class PacketReplay(DataSource):
     def reader(self, schema: object) -> _Batch:
         return _Batch(self.options["path"])
 
-    def simpleStreamReader(self, schema: object) -> _Stream:
+    def streamReader(self, schema: object) -> _Stream:
         return _Stream(self.options["path"])
