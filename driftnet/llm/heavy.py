@@ -52,7 +52,7 @@ def _refine(values: DataFrame, at_least: int) -> list[tuple[str, int]]:
             # at most KEEP_MAX short texts
             live = spark.createDataFrame([(p,) for p in kept], "prefix string")
             rows = values.join(F.broadcast(live), F.substring(values["value"], 1, width - STEP) == live["prefix"], "left_semi")
-        heavy = _count_prefixes(rows, width).where(F.col("n") >= at_least).collect()
+        heavy = _count_prefixes(rows, width).where(F.col("n") >= at_least).limit(KEEP_MAX + 1).collect()
         if len(heavy) > KEEP_MAX:
             raise ValueError("the bound keeps too many prefixes; ask for a larger share or fewer values")
         found += [(r["value"], r["n"]) for r in heavy if r["value"] is not None]

@@ -13,7 +13,7 @@ blocks of at most INDEX_WINDOWS windows (about 40 MB), one pass per block, and
 only links (document, item) are shuffled. Documents of any length are cut into
 slabs that overlap by a window; all windows are looked at, none is capped.
 
-Defined results: null and empty texts, and texts shorter than a window, have no
+Defined results: items without a number are left out; null and empty texts, and texts shorter than a window, have no
 windows and give no rows; repeated documents or items give rows each; an empty
 table gives none.
 """

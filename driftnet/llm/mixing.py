@@ -25,7 +25,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftnet.session import cut_lineage
@@ -132,11 +132,11 @@ def shares(counted: DataFrame, mixture: DataFrame, targets: DataFrame) -> DataFr
     have = counted.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     got = mixture.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.count(F.lit(1)).alias("drawn_documents"), F.max("copy").alias("most_copies"))
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("available_tokens", "drawn_tokens", "drawn_documents", "most_copies")}
-    all_drawn = mixture.agg(F.sum("n_tokens").alias("all_drawn"))
-    joined = targets.join(have, "source", "left").join(got, "source", "left").crossJoin(F.broadcast(all_drawn))  # one row
+    joined = targets.join(have, "source", "left").join(got, "source", "left")
+    everything = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row per listed source
     return joined.select(
         "source", "target_share", "max_repeats", *zero.values(),
-        F.coalesce(F.col("drawn_tokens") / F.col("all_drawn"), F.lit(0.0)).alias("reached_share"),
+        F.coalesce(F.col("drawn_tokens") / F.sum("drawn_tokens").over(everything), F.lit(0.0)).alias("reached_share"),
     )
 
 
