@@ -545,10 +545,9 @@ def bytes_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT r_name, n_name, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 4 ELSE 6 END AS INT) AS family FROM region, nation WHERE n_nationkey % 2 = 0")
 def seed_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each seed with each resolved address of the wanted family; both sides are fixed lists."""
-    seeds = table(spark, sf_dir, "region").select("r_name")
+    seeds = table(spark, sf_dir, "region").select("r_name", F.lit(4).alias("family"))
     found = table(spark, sf_dir, "nation").select("n_name", F.when(F.col("n_nationkey") % 2 == 0, 4).otherwise(6).alias("family"))
-    per_seed = found.where(gate.family_wanted(F.col("family"), "v4")).agg(F.collect_list(F.struct("n_name", "family")).alias("x"))  # as many as addresses a seed has
-    return seeds.join(F.broadcast(per_seed)).select("r_name", F.inline("x"))
+    return seeds.join(found, "family").select("r_name", "n_name", "family")
 
 
 @query("SELECT CAST(shard AS INT) AS shard, CAST(family AS INT) AS family, count(*) AS n FROM nodes WHERE shard < 4 GROUP BY ALL")
