@@ -16,8 +16,8 @@ the best F1 on a fifth of the rated documents that is held out. Documents rated
 both ways, or not at all, are left out.
 
 The training sample is bounded: at most MAX_LABELLED rated documents, chosen by a
-hash of their id from those of at most MAX_TRAIN_CHARS characters, are sent to the
-driver, whole. Scoring has no such bound: every segment of every document is scored.
+hash of their id, are sent to the driver, whole; those of more than MAX_TRAIN_CHARS
+characters are left out of the sample. Scoring has no such bound: every segment of every document is scored.
 
 Spelling: letter case, invisible characters, look-alike letters, letters spelled
 with separators, stretched letters, and digits inside words are undone; masked
@@ -257,8 +257,9 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model | None:
     clear = rated.where(F.col("low") == F.col("high")).select("doc_id", (F.col("high") == 1).alias("hostile"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     texts = docs.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id", "text")
-    rows = texts.join(clear, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("hostile").alias("hostile"))
-    return train([(r["text"], r["hostile"]) for r in rows.orderBy(*order).limit(MAX_LABELLED).collect()])
+    chosen = clear.orderBy(*order).limit(MAX_LABELLED)
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("hostile").alias("hostile"))
+    return train([(r["text"], r["hostile"]) for r in rows.orderBy(*order).collect()])
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
