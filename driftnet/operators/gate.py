@@ -82,3 +82,15 @@ def discover(messages: DataFrame, secret: str, hash_filter: Column | None = None
         .otherwise("discovered")
     )
     return messages.withColumn("peer_port", port).withColumn("outcome", outcome)
+
+
+def find_node_message(own_id: Column, target: Column) -> Column:
+    """The bencoded request for the nodes near a target, as bytes."""
+    return F.concat(F.lit(b"d1:ad2:id20:"), own_id, F.lit(b"6:target20:"), target, F.lit(b"e1:q9:find_node1:t2:\x00\x011:y1:qe"))
+
+
+def response_kind(y: Column, q: Column, has_args: Column) -> Column:
+    """What a message is answered with: nothing, the own id and a token, or nodes
+    as well. Each query with arguments is answered, an announce with a bad token too."""
+    asked = F.coalesce((y == "q") & has_args, F.lit(False))
+    return F.when(~asked, "none").when(q.isin("get_peers", "find_node"), "id_token_nodes").otherwise("id_token")

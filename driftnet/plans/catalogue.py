@@ -334,6 +334,41 @@ def node_pool_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.unionByName(per.agg(F.lit(0).alias("family"), F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes")).select("family", "nodes")).withColumn("empty", F.col("nodes") == 0)
 
 
+@query("SELECT sensor, count(*) AS n FROM announces WHERE sensor IN ('fra-a', 'ams-1') GROUP BY 1")
+def bound_socket_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only what arrived at a bound socket; the list of those is short and fixed."""
+    bound = spark.createDataFrame([("fra-a",), ("ams-1",)], "sensor string")
+    return table(spark, sf_dir, "announces").join(F.broadcast(bound), "sensor", "left_semi").groupBy("sensor").agg(COUNT.alias("n"))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT CASE WHEN event_type <> 'click' OR k % 11 = 0 THEN 'none' WHEN k % 7 IN (1, 2) THEN 'id_token_nodes' ELSE 'id_token' END AS answer, count(*) AS n
+  FROM ev GROUP BY 1""")
+def response_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.when(F.col("event_type") == "click", "q").otherwise("r")
+    return _events(spark, sf_dir).groupBy(gate.response_kind(y, _query_of_k(), F.col("k") % 11 != 0).alias("answer")).agg(COUNT.alias("n"))
+
+
+def _crawl(count_sql: str) -> str:
+    own = "substr(upper(sha1(seq::VARCHAR)), 13)"
+    head = "64313A6164323A696432303A"
+    return f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS rn FROM nodes WHERE family = 4 AND node_id IS NOT NULL),
+  t AS (SELECT * FROM r WHERE rn <= 2), s AS (SELECT shard, coalesce(sum(count(*)) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t GROUP BY shard)
+  SELECT seq, lower('{head}' || hex(node_id)[1:12] || {own} || '363A74617267657432303A' || upper(sha1('t' || seq::VARCHAR)) || '65313A71393A66696E645F6E6F6465313A74323A0001313A79313A7165') AS request, 500 AS sleep_ms
+  FROM t JOIN s USING (shard) WHERE before < {count_sql}"""
+
+
+@query(_crawl("20"))
+def crawl_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One turn of the crawl: batch size by pressure, nodes popped, requests written."""
+    tier = (20, 500)  # pressure from 0.8 to below 0.95
+    known = table(spark, sf_dir, "nodes").where(F.col("node_id").isNotNull())
+    own = F.unhex(F.sha1(F.col("seq").cast("string").cast("binary")))
+    target = F.unhex(F.sha1(F.concat(F.lit("t"), F.col("seq").cast("string")).cast("binary")))
+    popped = nodes.pop_batch(known, tier[0], 4)
+    message = gate.find_node_message(nodes.neighbour_id(F.col("node_id"), own), target)
+    return popped.select("seq", F.lower(F.hex(message)).alias("request"), F.lit(tier[1]).alias("sleep_ms"))
+
+
 # -- records -----------------------------------------------------------------
 
 LATEST_SQL = "lat AS (SELECT * FROM tor WHERE h IS NOT NULL QUALIFY row_number() OVER (PARTITION BY h ORDER BY timestamp DESC NULLS LAST, delivery_id DESC) = 1)"

@@ -100,3 +100,14 @@ def test_samples(spark):
     assert len({r["seq"] for r in nodes.reservoir(df, 20, "s").collect()}) == 20
     both = nodes.sample_both_families(df, 8, "s").collect()
     assert sum(r["family"] == 4 for r in both) == 4 and sum(r["family"] == 6 for r in both) == 4
+
+
+def test_requests_and_answers(spark):
+    from driftnet.functions.bencode import decode
+
+    ids = bytes(range(20)), bytes(range(20, 40))
+    raw = col(spark, [ids], "i binary, t binary", gate.find_node_message(F.col("i"), F.col("t")))[0]
+    assert decode(bytes(raw)) == {b"a": {b"id": ids[0], b"target": ids[1]}, b"q": b"find_node", b"t": b"\x00\x01", b"y": b"q"}
+    rows = [("q", "ping", True), ("q", "get_peers", True), ("q", "announce_peer", True), ("q", "ping", False), ("r", "ping", True), (None, None, None), ("q", None, True)]
+    got = col(spark, rows, "y string, q string, a boolean", gate.response_kind(F.col("y"), F.col("q"), F.col("a")))
+    assert got == ["id_token", "id_token_nodes", "id_token", "none", "none", "none", "id_token"]
