@@ -21,8 +21,15 @@ def last_piece(pieces: DataFrame, *keys: str) -> DataFrame:
     return pieces.groupBy(*keys).agg(F.max(F.struct("arrival", "data")).alias("__l")).select(*keys, "__l.arrival", "__l.data")
 
 
+def piece_count(size: Column) -> Column:
+    """Number of pieces of a size of any greatness; 0 for no or a negative size."""
+    whole = F.shiftright(size.cast("long"), PIECE.bit_length() - 1)  # exact, where a quotient of doubles is not
+    return F.when(size > 0, whole + (size % PIECE > 0).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
 def requested_pieces(size: Column) -> Column:
-    """0 .. number of pieces - 1; empty for no or a negative size."""
+    """0 .. number of pieces - 1; empty for no or a negative size. For metadata
+    sizes, which end at MAX_METADATA (640 pieces); of others take piece_count."""
     return F.when(size > 0, F.sequence(F.lit(0), (F.ceil(size / PIECE) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
