@@ -588,9 +588,11 @@ def seed_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(shard AS INT) AS shard, CAST(family AS INT) AS family, count(*) AS n FROM nodes WHERE shard < 4 GROUP BY ALL")
 def union_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of all shards of both families, put together shard by shard; the SQL twin takes
+    the first four only."""
     n = table(spark, sf_dir, "nodes").select(F.col("shard").cast("int").alias("shard"), F.col("family").cast("int").alias("family"))
     out = n.where(F.col("shard") == 0)
-    for s in range(1, 4):
+    for s in range(1, nodes.SHARDS):
         out = out.unionByName(n.where(F.col("shard") == s))
     return out.groupBy("shard", "family").agg(COUNT.alias("n"))
 

@@ -15,3 +15,10 @@ def test_pieces_of_every_size(spark, tmp_path):
     sf = stored(spark, tmp_path, "torrents", list(enumerate(sizes)), "delivery_id long, total_size long")
     got = {r["delivery_id"]: r["pieces"] for r in CATALOGUE.queries["requested_pieces"](spark, sf).collect()}
     assert got == {i: -(-max(0, s or 0) // 16384) for i, s in enumerate(sizes)}
+
+
+def test_union_of_every_shard(spark, tmp_path):
+    rows = [(s, f) for s in range(16) for f in (4, 6) for _ in range(s % 3 + f)]
+    sf = stored(spark, tmp_path, "nodes", rows, "shard int, family int")
+    got = {(r["shard"], r["family"]): r["n"] for r in CATALOGUE.queries["union_shards"](spark, sf).collect()}
+    assert got == {(s, f): s % 3 + f for s in range(16) for f in (4, 6)}
