@@ -64,6 +64,11 @@ def first_per_address(nodes: DataFrame, *address: str) -> DataFrame:
     return nodes.groupBy(*address).agg(first).select(*address, *[F.col(f"__f.{c}").alias(c) for c in rest])
 
 
+def shard_capacity(total: int) -> int:
+    """Capacity of one shard's queue; each family has ``total`` to itself."""
+    return -(-total // SHARDS)
+
+
 class Frontier:
     """A bounded first-in-first-out queue that ignores addresses it holds."""
 

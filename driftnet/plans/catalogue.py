@@ -17,11 +17,13 @@ from driftnet.functions.identity import address_family, address_key, canonical_h
 from driftnet.operators import gate, metadata, metrics, nodes
 from driftnet.plans.registry import Catalogue
 from driftnet.plans.sqltext import ANNOUNCES, TORRENTS
+from driftnet.schemas import OPTIONS
 from driftnet.sources.tables import table
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 SECRET = "s3"
+NODE_CAPACITY = nodes.shard_capacity(OPTIONS["node_queue_capacity"])  # of a shard and family
 
 
 class _Count:
@@ -257,7 +259,9 @@ def shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
   u AS (SELECT family, shard, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM l)
   SELECT family, shard, CAST(i - 1 AS INT) AS position, x.address AS address, x.seq AS seq FROM u""")
 def bounded_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.bounded_queues(frontier(spark, sf_dir), 4)
+    """What the frontier of a crawl holds in the end, with the default capacity; the SQL
+    twin holds 4 nodes a shard."""
+    return nodes.bounded_queues(frontier(spark, sf_dir), NODE_CAPACITY)
 
 
 POP_SQL = """WITH r AS (SELECT seq, family, shard, {turn} AS turn, row_number() OVER (PARTITION BY {turn} ORDER BY seq) AS rn FROM nodes WHERE {where}),
@@ -566,9 +570,11 @@ def frontier_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT sensor, CAST(received AS BIGINT) AS received, CAST(dropped AS BIGINT) AS dropped, CAST(received - dropped AS BIGINT) AS dispatched FROM f
   QUALIFY row_number() OVER (PARTITION BY sensor ORDER BY rn DESC) = 1""")
 def admission_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discoveries that a queue of the default capacity takes and drops; the SQL twin's
+    holds 12."""
     a = table(spark, sf_dir, "announces").where(F.col("received_at").isNotNull())
     per = a.groupBy(F.coalesce("sensor", F.lit("")).alias("sensor"), F.expr("unix_micros(received_at) div 60000000").alias("t")).agg(COUNT.alias("n"))
-    return metrics.admission(per, "sensor", "t", 12, 1)
+    return metrics.admission(per, "sensor", "t", OPTIONS["hash_queue_capacity"], 1)
 
 
 @query("SELECT 'announces' AS source, CAST(sum(strlen(peer_addr)) AS BIGINT) AS bytes FROM announces UNION ALL SELECT 'documents', CAST(sum(octet_length(raw)) AS BIGINT) FROM documents")
