@@ -8,13 +8,19 @@ block of a document window in the blocks of the item windows misses no pair
 within the radius. Candidates are verified by the exact weighted similarity of
 their shingles, and, where a verbatim passage is asked for, by their words.
 
+Two windows of WINDOW words that differ in one shingle are 7/9 similar, so above that
+only windows with the same shingles pass. Where no verbatim passage is asked for, each
+item is therefore also compared as a whole, with the document's windows of its own
+length (WholeItems): from the places of its shingles, exactly and without a radius.
+
 Documents are read once and never shuffled: the item index is broadcast in
 blocks of at most INDEX_WINDOWS windows (about 40 MB), one pass per block, and
 only links (document, item) are shuffled. Documents of any length are cut into
 slabs that overlap by a window; all windows are looked at, none is capped.
 
 Defined results: items without a number are left out; null and empty texts, and texts shorter than a window, have no
-windows and give no rows; repeated documents or items give rows each; an empty
+windows and give no rows (an item shorter than WINDOW words has one if it is compared as a whole, and one shorter than
+SHINGLE words is a single shingle); repeated documents or items give rows each; an empty
 table gives none.
 """
 
@@ -38,12 +44,12 @@ SLAB_WORDS = 40_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-def shingle_hashes(h: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of SHINGLE words."""
-    n = len(h) - SHINGLE + 1
+def shingle_hashes(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, at most SHINGLE."""
+    n = len(h) - size + 1
     out = np.zeros(max(n, 0), np.uint64)
     if n > 0:
-        for i in range(SHINGLE):
+        for i in range(size):
             out += (h[i : i + n] ^ (h[i : i + n] >> np.uint64(29))) * _ODD[i]
         out ^= out >> np.uint64(32)
         out *= _ODD[4]
@@ -127,6 +133,53 @@ class ItemIndex:
         return both[:, 0], both[:, 1]
 
 
+class WholeItems:
+    """Items as a whole, found by the places of their shingles in a document. Those
+    of WINDOW words are left to the index of windows."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        cache, by_size = WordHashes(), {}
+        for item_id, text in items:
+            h = cache.of(words(text or ""))
+            if len(h) and len(h) != WINDOW:
+                size = min(SHINGLE, len(h))
+                by_size.setdefault(size, []).append((item_id, shingle_hashes(h, size)))
+        self.tables = []
+        for size, some in by_size.items():
+            at = np.repeat(np.arange(len(some)), [len(s) for _, s in some])
+            pairs = np.unique(np.rec.fromarrays([np.concatenate([s for _, s in some]), at], names="s,at"))
+            known, first = np.unique(pairs["s"], return_index=True)
+            self.tables.append((size, some, known, np.append(first, len(pairs)), pairs["at"].astype(np.int64)))
+
+    def links(self, h: np.ndarray, least: float) -> Iterator[tuple[int, float]]:
+        """(item, similarity) of each window of a document, as long as the item, that is at least this similar."""
+        for size, some, known, first, holders in self.tables:
+            s = shingle_hashes(h, size)
+            if not len(s):
+                continue
+            rank = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            places = np.flatnonzero(known[rank] == s)
+            if not len(places):
+                continue
+            count = first[rank[places] + 1] - first[rank[places]]
+            which = holders[np.repeat(first[rank[places]] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            where = np.repeat(places, count)
+            hits = np.bincount(which, minlength=len(some))
+            for k in np.flatnonzero(hits):
+                item_id, own = some[k]
+                n = len(own)
+                need = 2 * n * least / (1 + least) - 1e-6  # shingles in common of two bags of n
+                if hits[k] < need or len(s) < n:
+                    continue
+                shared = np.zeros(len(s) + 1, np.int64)
+                shared[where[which == k] + 1] = 1
+                total = np.cumsum(shared)
+                for start in np.flatnonzero(total[n:] - total[:-n] >= need):
+                    score = weighted_similarity(s[start : start + n], own)
+                    if score >= least:
+                        yield item_id, score
+
+
 def _links(index: ItemIndex, doc_ids: np.ndarray, h: np.ndarray, least: float, verbatim: bool) -> tuple[np.ndarray, ...]:
     """Verified (document, item) links of one slab; h holds the word hashes of
     several documents one after the other, doc_ids the document of each word."""
@@ -156,9 +209,9 @@ _ARROW = pa.schema([("doc_no", pa.int64()), ("item_id", pa.int64()), ("windows",
 
 def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, verbatim: bool = False) -> DataFrame:
     """(doc_id, item_id, windows, similarity) of each document and item that
-    share a window at least this similar: the number of such windows of the
-    document and the best similarity. With verbatim only windows of the same
-    words in the same order count."""
+    share a window at least this similar, of WINDOW words or of the whole item's
+    length: the number of such windows of the document and the best similarity.
+    With verbatim only windows of WINDOW words, the same in the same order, count."""
     spark = docs.sparkSession
     rough = items.agg(F.coalesce(F.sum(F.length("text") / 2), F.lit(0)).cast("long")).first()[0]
     parts = max(1, -(-rough // INDEX_WINDOWS))
@@ -171,13 +224,19 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, cache = ItemIndex(shared.value), WordHashes()
-            if not index.n:
+            whole = WholeItems([] if verbatim else shared.value)
+            if not index.n and not whole.tables:
                 return
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
                 # a slab is named by places in the batch, so that repeated and null ids stay apart
                 held: list[tuple[int, np.ndarray]] = []
-                size, found = 0, []
+                size, found, best = 0, [], {}
+
+                def add(place: int, item: int, score: float) -> None:
+                    b = best.setdefault((place, item), [0, 0.0])
+                    b[0] += 1
+                    b[1] = max(b[1], score)
 
                 def flush() -> None:
                     if held:
@@ -188,7 +247,9 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                 for i in range(len(ids)):
                     t = texts[i].as_py()
                     h = cache.of(words(t)) if t else np.zeros(0, np.uint64)
-                    if len(h) < WINDOW:
+                    for k, sc in whole.links(h, least):
+                        add(i, k, sc)
+                    if len(h) < WINDOW or not index.n:
                         continue
                     for at in range(0, len(h) - WINDOW + 1, SLAB_WORDS):
                         cut = h[at : at + SLAB_WORDS + WINDOW - 1]
@@ -200,11 +261,9 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                 flush()
                 if found:
                     where, item, score = (np.concatenate(x) for x in zip(*found))
-                    best: dict[tuple[int, int], list] = {}
                     for w, k, sc in zip(where.tolist(), item.tolist(), score.tolist()):
-                        b = best.setdefault((w, k), [0, 0.0])
-                        b[0] += 1
-                        b[1] = max(b[1], sc)
+                        add(w, k, sc)
+                if best:
                     yield pa.record_batch(
                         [
                             pa.array([ids[w] for w, _ in best], pa.int64()), pa.array([k for _, k in best], pa.int64()),
