@@ -45,9 +45,10 @@ def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_announces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements with the hash, the peer and the sensor as bytes: half as long as digits where they are shuffled."""
     a = with_socket_key(table(spark, sf_dir, "announces"), "peer_addr", "peer")
     return once(a, __h=canonical_hash("info_hash")).select(
-        F.col("__h").alias("info_hash"), "peer", "sensor", "discovered_at",
+        F.unhex("__h").alias("info_hash"), F.unhex(F.concat(F.lit("0"), F.translate("peer", "-", ""))).alias("peer"), F.col("sensor").cast("binary").alias("sensor"), "discovered_at",
         F.floor((F.unix_micros("received_at") - F.unix_micros("discovered_at")) / 1000000).cast("long").alias("delay_s"),
     )
 
@@ -55,8 +56,8 @@ def canonical_announces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_hash_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, peers, first and last discovery, top sensor and delay percentiles of each hash."""
     return hash_profile(canonical_announces(spark, sf_dir)).select(
-        "info_hash", "announces", "peers", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"),
-        "top_sensor", "delay_p50", "delay_p90",
+        F.lower(F.hex("info_hash")).alias("info_hash"), "announces", "peers", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"),
+        F.col("top_sensor").cast("string").alias("top_sensor"), "delay_p50", "delay_p90",
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,14 +39,27 @@ def ensure_shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="driftnet-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def _cut_folder(spark: SparkSession) -> str:
+    return f"{ensure_shared_folder(spark)}/cut-{spark.sparkContext.applicationId}"
+
+
+def cut_lineage(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and go on from the files, so that a lost
-    executor costs no more than a re-read."""
-    folder = ensure_shared_folder(df.sparkSession)
-    path = f"{folder}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    executor costs no more than a re-read. With partition_by the files lie in a
+    folder per value, and a filter on it reads only these."""
+    path = f"{_cut_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_cuts(spark: SparkSession) -> None:
+    """Delete what this application wrote by cut_lineage; for when its results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_cut_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
