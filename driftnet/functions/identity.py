@@ -97,7 +97,7 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 def _four_digit_groups(text: Column) -> Column:
     """'db8:1' -> '0db80001', without a lambda, so that it stays in generated code."""
     longer = F.regexp_replace(F.concat(F.lit(":"), text), ":([0-9a-f]{1,4})(?=:|$)", ":000$1")
-    return F.translate(F.regexp_replace(longer, ":0*([0-9a-f]{4})(?=:|$)", "$1"), ":", "")
+    return F.replace(F.regexp_replace(longer, ":0*([0-9a-f]{4})(?=:|$)", "$1"), F.lit(":"), F.lit(""))
 
 
 def with_socket_key(df: DataFrame, source: Column | str, name: str) -> DataFrame:
@@ -110,17 +110,18 @@ def with_socket_key(df: DataFrame, source: Column | str, name: str) -> DataFrame
         {"__a": F.trim(_col(source))},
         {
             "__ip6": F.when(c("__a").startswith("["), F.lower(F.regexp_extract("__a", r"^\[([0-9A-Fa-f:.]+)\]:[0-9]{1,9}$", 1))),
-            "__q": F.split(F.regexp_extract("__a", r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+):[0-9]{1,9}$", 1), r"\."),
+            # a split by a plain character needs no pattern
+            "__q": F.when(c("__a").rlike("^[0-9]+[.][0-9.]+:[0-9]{1,9}$"), F.split(F.substring_index("__a", ":", 1), r"\.")),
             "__port": F.substring_index("__a", ":", -1).try_cast("int"),
         },
         {
-            "__o": F.when(F.size("__q") == 4, F.array(*[c("__q")[i].try_cast("int") for i in range(4)])),
+            **{f"__o{i}": F.when(F.size("__q") == 4, F.get("__q", F.lit(i)).try_cast("int")) for i in range(4)},
             "__cut": F.when(~c("__ip6").rlike("[0-9a-f]{5}|:::|::.*::|^:[^:]|[^:]:$"), F.instr("__ip6", "::")),
         },
         {
             "__k4": F.when(
-                c("__o")[0].between(0, 255) & c("__o")[1].between(0, 255) & c("__o")[2].between(0, 255) & c("__o")[3].between(0, 255),
-                F.hex(c("__o")[0] * F.lit(1 << 24).cast("long") + c("__o")[1] * 65536 + c("__o")[2] * 256 + c("__o")[3]),
+                c("__o0").between(0, 255) & c("__o1").between(0, 255) & c("__o2").between(0, 255) & c("__o3").between(0, 255),
+                F.hex(c("__o0") * F.lit(1 << 24).cast("long") + c("__o1") * 65536 + c("__o2") * 256 + c("__o3")),
             ),
             "__l": F.when((c("__ip6") != "") & c("__cut").isNotNull(), _four_digit_groups(F.substring_index("__ip6", "::", 1))),
             "__r": F.when(c("__cut") > 0, _four_digit_groups(F.expr("substring(__ip6, __cut + 2)"))).otherwise(F.lit("")),

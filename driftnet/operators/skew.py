@@ -63,9 +63,9 @@ def weighted_mode(compressed: DataFrame, key: str, value: str, name: str) -> Dat
 
 def _shifts(low: int, high: int) -> list[int]:
     """The shifts of the rounds for values between two bounds: at the first one
-    there are at most 16 digits, each next one settles DIGIT_BITS more."""
+    there are at most 2**DIGIT_BITS digits, each next one settles DIGIT_BITS more."""
     bits = 0
-    while (high >> bits) - (low >> bits) > 15:
+    while (high >> bits) - (low >> bits) >= 1 << DIGIT_BITS:
         bits += DIGIT_BITS
     return list(range(bits, -1, -DIGIT_BITS))
 
@@ -74,10 +74,9 @@ def weighted_percentiles(compressed: DataFrame, key: str, value: str, wanted: di
     """Exact discrete percentiles of a bigint value per key: the smallest value
     whose cumulative weight reaches ceil(p * n); null if a key has no value.
 
-    Each round sums weights by the next digit of the value, in the open prefixes
-    only, so a window holds at most 2**DIGIT_BITS rows, the first one 16, however
-    many rows or distinct values the key has and wherever its values lie.
-    compressed is read once per round and once for the bounds.
+    Each round sums weights by the next digit of the value, so a window holds at
+    most 2**DIGIT_BITS rows, however many rows or distinct values the key has and
+    wherever its values lie. compressed is read twice and once more per round.
     """
     live = compressed.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"), "weight")
     low, high = live.agg(F.min("v"), F.max("v")).first()
@@ -85,25 +84,17 @@ def weighted_percentiles(compressed: DataFrame, key: str, value: str, wanted: di
     open_ = live.groupBy("k").agg(F.sum("weight").alias("n")).select("k", "n", F.inline(probs)).select(
         "k", "q", F.greatest(F.ceil(F.col("p") * F.col("n")), F.lit(1)).cast("long").alias("rank"), F.lit(0).cast("long").alias("prefix")
     )
-    shifts = _shifts(low or 0, high or 0)
-    for i, shift in enumerate(shifts):
+    order = Window.partitionBy("k", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    for i, shift in enumerate(_shifts(low or 0, high or 0)):
         up = F.lit(0).cast("long") if i == 0 else F.shiftright("digit", DIGIT_BITS)
         digits = live.groupBy("k", F.shiftright("v", shift).alias("digit")).agg(F.sum("weight").alias("w")).withColumn("prefix", up)
-        hit = _at_ranks(open_, digits)
-        open_ = hit.select("k", "q", "rank", F.col("digit").alias("prefix"))
+        upto = digits.withColumn("upto", F.sum("w").over(order))
+        hit = open_.join(upto, ["k", "prefix"]).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("w") < F.col("rank")))
+        open_ = hit.select("k", "q", (F.col("rank") - (F.col("upto") - F.col("w"))).alias("rank"), F.col("digit").alias("prefix"))
     found = open_.groupBy("k").agg(*[F.max(F.when(F.col("q") == n, F.col("prefix"))).alias(n) for n in wanted])
     return found.withColumnRenamed("k", key)
 
 
-def _at_ranks(open_: DataFrame, digits: DataFrame) -> DataFrame:
-    """The digit at which the weight reaches each open rank, with the rank inside it."""
-    wanted = open_.select("k", "prefix").distinct()
-    order = Window.partitionBy("k", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-    upto = digits.join(wanted, ["k", "prefix"], "left_semi").withColumn("upto", F.sum("w").over(order))
-    hit = open_.join(upto, ["k", "prefix"]).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("w") < F.col("rank")))
-    return hit.select("k", "q", (F.col("rank") - (F.col("upto") - F.col("w"))).alias("rank"), "digit")
-
-
 def hash_profile(announces: DataFrame) -> DataFrame:
     """Per announced hash: rows, distinct peers, first and last discovery, the
     sensor that saw it most, and median and 90th percentile of the delay from

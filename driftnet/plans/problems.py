@@ -48,7 +48,7 @@ def canonical_announces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Announcements with the hash, the peer and the sensor as bytes: half as long as digits where they are shuffled."""
     a = with_socket_key(table(spark, sf_dir, "announces"), "peer_addr", "peer")
     return once(a, __h=canonical_hash("info_hash")).select(
-        F.unhex("__h").alias("info_hash"), F.unhex(F.concat(F.lit("0"), F.translate("peer", "-", ""))).alias("peer"), F.col("sensor").cast("binary").alias("sensor"), "discovered_at",
+        F.unhex("__h").alias("info_hash"), F.unhex(F.concat(F.lit("0"), F.replace("peer", F.lit("-"), F.lit("")))).alias("peer"), F.col("sensor").cast("binary").alias("sensor"), "discovered_at",
         F.floor((F.unix_micros("received_at") - F.unix_micros("discovered_at")) / 1000000).cast("long").alias("delay_s"),
     )
 
