@@ -61,7 +61,7 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each name and whole path that shows characters of a wrong encoding."""
     texts = torrent_texts(spark, sf_dir, F.col("x.path"))
-    return texts.join(encoding.garbled_texts(texts), "text", "left_semi").select("delivery_id", "field", "file_ord").distinct()
+    return encoding.garbled_rows(texts, ["delivery_id", "field", "file_ord"]).select("delivery_id", "field", "file_ord")
 
 
 def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
