@@ -72,11 +72,11 @@ def p7_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and item that share at least 12 consecutive words."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
-    return leakage.leaked_passages(docs, items, verbatim=True).select("doc_id", "item_id")
+    return leakage.leaked_passages(docs, items, verbatim=True).select("doc_id", "item_id").distinct()
 
 
 def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per item: documents with a passage at least 0.8 similar, and the windows in them."""
+    """Per item: documents with a passage at least 0.8 similar, the windows in them, and documents with a verbatim one."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
     links = leakage.leaked_passages(docs, items)
     return links.groupBy("item_id").agg(
@@ -84,6 +84,16 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of passages planted with 1 to 3 changed words in 12 to 60: how many are found."""
+    items = table(spark, sf_dir, "eval_items")
+    planted = leakage.edited_passages(items, table(spark, sf_dir, "documents"))
+    links = leakage.leaked_passages(planted, items).select("doc_id", "item_id", F.lit(1).alias("hit"))
+    return planted.select("doc_id", "item_id", "changed").join(links, ["doc_id", "item_id"], "left").groupBy("changed").agg(
+        F.count(F.lit(1)).alias("planted"), F.count("hit").alias("found"), (F.count("hit") / F.count(F.lit(1))).alias("recall")
+    )
+
+
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.count_once(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -125,6 +135,7 @@ QUERIES = {
     "p7_restored": p7_restored,
     "p8_found": p8_found,
     "p8_leaked_items": p8_leaked_items,
+    "p8_recall": p8_recall,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -153,4 +164,13 @@ SQL: dict[str, str] = {
     "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
   dw AS (SELECT DISTINCT doc_id, {_WINDOWS} AS p FROM d WHERE len(w) > 11), iw AS (SELECT DISTINCT item_id, {_WINDOWS} AS p FROM i WHERE len(w) > 11)
   SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (p)""",
+    # windows with a common shingle in the same place, weighed by the shingles of each word
+    "p8_leaked_items": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+  ds0 AS (SELECT doc_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda p: {{'p': p, 's': array_to_string(w[p : p + 4], ' ')}})) AS u FROM d WHERE len(w) > 11), ds AS (SELECT doc_id, n, u.p AS p, u.s AS s FROM ds0),
+  si0 AS (SELECT item_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda p: {{'p': p, 's': array_to_string(w[p : p + 4], ' ')}})) AS u FROM i WHERE len(w) > 11), si AS (SELECT item_id, n, u.p AS p, u.s AS s FROM si0),
+  m AS (SELECT doc_id, item_id, ds.p - k AS a, si.p - k AS b FROM ds JOIN si USING (s), range(8) t(k) WHERE ds.p - k >= 1 AND si.p - k >= 1 AND ds.p - k + 11 <= ds.n AND si.p - k + 11 <= si.n GROUP BY ALL),
+  e AS (SELECT doc_id, item_id, a, list_sum(list_transform(range(12), lambda k: CASE WHEN d.w[a + k] = i.w[b + k] THEN least(k + 1, 5, 12 - k) ELSE 0 END)) / 40 AS x
+    FROM m JOIN d USING (doc_id) JOIN i USING (item_id)),
+  l AS (SELECT doc_id, item_id, count(DISTINCT a) AS windows, max(x) AS similarity FROM e WHERE x >= 0.8 GROUP BY ALL)
+  SELECT item_id, count(*) AS documents, CAST(sum(windows) AS BIGINT) AS windows, CAST(sum(CASE WHEN similarity = 1 THEN 1 ELSE 0 END) AS BIGINT) AS with_verbatim FROM l GROUP BY 1""",
 }
