@@ -65,12 +65,14 @@ def test_very_long_text_and_blocks_of_items(spark, monkeypatch):
     assert got == brute(some, [x for x in items if x[0] is not None])
 
 
-@pytest.mark.parametrize("piece", [1 << 21, 1 << 15])
-def test_every_pair_within_the_radius(monkeypatch, piece):
+@pytest.mark.parametrize(("piece", "blocks"), [(1 << 21, True), (1 << 17, True), (1 << 21, False)])
+def test_every_pair_within_the_radius(monkeypatch, piece, blocks):
     monkeypatch.setattr(leakage, "PIECE", piece)
     rnd = np.random.default_rng(1)
     cache = WordHashes()
     index = leakage.WindowIndex(12, [(i, cache.of([f"v{x}" for x in rnd.integers(0, 500, 40)])) for i in range(30)])
+    if blocks:
+        monkeypatch.setattr(leakage, "BLOCKS", 0)  # the index counts as too large to be compared as a whole
     flips = []
     for p in index.prints[:300]:
         for k in rnd.permutation(64)[: leakage.RADIUS]:
@@ -82,14 +84,16 @@ def test_every_pair_within_the_radius(monkeypatch, piece):
     assert set(zip(a.tolist(), b.tolist())) == want and len(want) >= 300
 
 
-def test_distances_of_a_changed_word():
-    """The figures that RADIUS was chosen by."""
+def test_distances_of_similar_windows():
+    """The figures that RADIUS was chosen by: the least similar windows that must be found."""
     rnd = np.random.default_rng(3)
-    one = rnd.integers(0, 1 << 63, (4000, 12)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one = rnd.integers(0, 1 << 63, (40_000, 12)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     two = one.copy()
-    two[np.arange(4000), rnd.integers(0, 12, 4000)] = rnd.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in (4, 2):  # weights 5 and 3 of 40
+        two[:, at] = rnd.integers(0, 1 << 63, len(two)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert np.allclose(leakage.similarities(one, two, 5), 0.8)
     d = np.bitwise_count(leakage.fingerprints(one) ^ leakage.fingerprints(two))
-    assert (d <= leakage.RADIUS).mean() > 0.97
+    assert (d <= leakage.RADIUS).mean() > 0.995 and 13 < d.mean() < 14
 
 
 def test_a_stock_phrase_is_one_class(spark):
