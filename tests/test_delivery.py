@@ -45,3 +45,48 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert surplus_deliveries(df, F.col("hex"), F.col("received_at"), F.col("delivery_id")).count() == 0
     assert keep_one(df, F.col("hex"), F.col("received_at"), F.col("delivery_id")).count() == 0
+
+
+def test_long_identifiers_that_differ_at_the_end(spark):
+    """No part of an identifier is left out of the comparison, however long; an odd number of digits is no even one."""
+    base = "a" * 4111
+    rows = [(base + "0", T0, 1, "", 0), (base + "1", T0, 2, "", 0), (base, T0, 3, "", 0), (base[:-1], T0, 4, "", 0), ("0" + base[:-2] + "0", T0, 5, "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert keep_one(df, F.col("hex"), F.col("received_at"), F.col("delivery_id")).count() == 5
+
+
+def test_small_pieces_and_hot_message(spark, monkeypatch):
+    from driftnet.operators import delivery
+
+    monkeypatch.setattr(delivery, "PIECE_ROWS", 64)
+    rnd = random.Random(8)
+    ids = [f"{rnd.getrandbits(200):050x}" for _ in range(60)]
+    rows = [(ids[0] if rnd.random() < 0.4 else rnd.choice(ids), T0 + dt.timedelta(microseconds=rnd.randrange(40)), i, None, None) for i in range(3000)]
+    rows += [rows[3], rows[3]]  # one delivery that is read three times
+    best, extra = brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    args = F.col("hex"), F.col("received_at"), F.col("delivery_id")
+    got = {r["delivery_id"] for r in surplus_deliveries(df, *args).collect()}
+    assert got == {r[2] for r in extra}
+    assert sorted(r["delivery_id"] for r in keep_one(df, *args).collect()) == sorted(r[2] for r in best.values())
+
+
+def test_batches(spark, tmp_path):
+    """A table that lasts: copies in later batches are no new messages, and a batch may be repeated."""
+    from driftnet.operators.delivery import QuotientStore
+
+    rnd = random.Random(9)
+    ids = [f"{rnd.getrandbits(160):040x}" for _ in range(50)]
+    store, seen, number = QuotientStore(spark, str(tmp_path / "table")), set(), 0
+    args = F.col("hex"), F.col("received_at"), F.col("delivery_id")
+    for batch in range(3):
+        rows = [(rnd.choice(ids[: 20 * (batch + 1)]), T0, (number := number + 1), "n", 1) for _ in range(60)] + [(None, T0, -batch, "x", 1)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        want = sorted({r[0] for r in rows if r[0]} - seen)
+        for _ in range(2 if batch == 1 else 1):
+            got = store.insert(df, batch, *args)
+            assert got.columns == ["hex", "received_at", "delivery_id", "note"]
+            found = got.collect()
+            assert sorted(r["hex"] for r in found if r["hex"]) == want and [r["delivery_id"] for r in found if not r["hex"]] == [-batch]
+        seen |= set(want)
+    assert store.insert(df.limit(0), 9, *args).count() == 0
