@@ -11,16 +11,39 @@ from driftnet.plans.sqltext import ANNOUNCES
 from driftnet.sources.tables import table
 
 
-def p1_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct hashes and peers per day, sensor, family and each combination."""
-    groups = ["day", "sensor", "family"]
-    a = with_socket_key(table(spark, sf_dir, "announces"), "peer_addr", "peer").select(
+_GROUPS = ["day", "sensor", "family"]
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_socket_key(table(spark, sf_dir, "announces"), "peer_addr", "peer").select(
         F.to_date("discovered_at").cast("string").alias("day"), "sensor", address_family("peer").cast("int").alias("family"),
         canonical_hash("info_hash").alias("hash"), "peer",
     )
-    parts = distinct.partial_bitmaps(a, groups, {"hashes": "hash", "peers": "peer"})
-    every = distinct.combinations(parts, groups)
-    return distinct.estimates(every, [*groups, "grouping"], ["hashes", "peers"]).withColumn("error_bound", F.lit(distinct.ERROR_BOUND))
+
+
+def p1_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct hashes and peers per day, sensor, family and each combination."""
+    parts = distinct.partial_bitmaps(_seen(spark, sf_dir), _GROUPS, {"hashes": "hash", "peers": "peer"})
+    every = distinct.combinations(parts, _GROUPS)
+    return distinct.estimates(every, [*_GROUPS, "grouping"], ["hashes", "peers"]).withColumn("error_bound", F.lit(distinct.ERROR_BOUND))
+
+
+def p1_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimates against exact counts: per combination its groups, the greatest relative
+    error of either field, and the groups whose errors are within the bound."""
+    values = F.array(F.struct(F.lit("hashes").alias("field"), F.col("hash").alias("v")), F.struct(F.lit("peers").alias("field"), F.col("peer").alias("v")))
+    fine = _seen(spark, sf_dir).select(*_GROUPS, F.inline(values)).where(F.col("v").isNotNull()).distinct()
+    every = fine.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("grouping")).select(
+        "field", "v", "grouping", *[F.when(F.col("grouping").bitwiseAND(4 >> i) == 0, F.col(g)).alias(g) for i, g in enumerate(_GROUPS)]
+    ).distinct()  # distinct first, so that no group is counted in one task
+    exact = every.groupBy(*_GROUPS, "grouping").agg(F.sum((F.col("field") == "hashes").cast("long")).alias("h"), F.sum((F.col("field") == "peers").cast("long")).alias("p"))
+    est = p1_distinct_counts(spark, sf_dir)
+    same = [est[g].eqNullSafe(exact[g]) for g in [*_GROUPS, "grouping"]]
+    error = F.greatest(*[F.when(c > 0, F.abs(e - c) / c).otherwise(F.lit(0.0)) for e, c in ((F.col("hashes"), F.col("h")), (F.col("peers"), F.col("p")))])
+    joined = est.join(exact, same[0] & same[1] & same[2] & same[3]).select(est["grouping"], error.alias("e"))
+    return joined.groupBy("grouping").agg(
+        F.count(F.lit(1)).alias("groups"), F.round(F.max("e"), 6).alias("worst"), F.sum((F.col("e") <= distinct.ERROR_BOUND).cast("long")).alias("within")
+    )
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +150,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_distinct_counts": p1_distinct_counts,
+    "p1_error": p1_error,
     "p2_found": p2_found,
     "p2_top_hashes": p2_top_hashes,
     "p5_found": p5_found,
@@ -174,3 +198,10 @@ SQL: dict[str, str] = {
   l AS (SELECT doc_id, item_id, count(DISTINCT a) AS windows, max(x) AS similarity FROM e WHERE x >= 0.8 GROUP BY ALL)
   SELECT item_id, count(*) AS documents, CAST(sum(windows) AS BIGINT) AS windows, CAST(sum(CASE WHEN similarity = 1 THEN 1 ELSE 0 END) AS BIGINT) AS with_verbatim FROM l GROUP BY 1""",
 }
+SQL["p1_error"] = f"""WITH est AS ({SQL['p1_distinct_counts']}), {ANNOUNCES}, f AS (
+    SELECT strftime(discovered_at, '%Y-%m-%d') AS day, sensor, CAST(left(peer, 1) AS INT) AS family, h, peer FROM ann),
+  x AS (SELECT CASE WHEN m & 4 = 0 THEN day END AS day, CASE WHEN m & 2 = 0 THEN sensor END AS sensor, CASE WHEN m & 1 = 0 THEN family END AS family, CAST(m AS INT) AS "grouping",
+    count(DISTINCT h) AS nh, count(DISTINCT peer) AS np FROM f, range(8) t(m) GROUP BY ALL),
+  e AS (SELECT est."grouping" AS g, greatest(CASE WHEN nh > 0 THEN abs(hashes - nh) / nh ELSE 0 END, CASE WHEN np > 0 THEN abs(peers - np) / np ELSE 0 END) AS e FROM est JOIN x ON est."grouping" = x."grouping"
+    AND est.day IS NOT DISTINCT FROM x.day AND est.sensor IS NOT DISTINCT FROM x.sensor AND est.family IS NOT DISTINCT FROM x.family)
+  SELECT g AS "grouping", count(*) AS "groups", round(max(e), 6) AS worst, CAST(sum(CASE WHEN e <= {distinct.ERROR_BOUND} THEN 1 ELSE 0 END) AS BIGINT) AS within FROM e GROUP BY 1"""

@@ -66,3 +66,18 @@ def test_few_or_no_values(spark):
     assert heavy.top_values(df, F.col("v"), 10).count() == 2
     assert heavy.top_values(df.limit(0), F.col("v"), 10).count() == 0
     assert heavy.values_over_share(df.limit(0), F.col("v"), 0.5).count() == 0
+
+
+def test_flat_values(spark, monkeypatch):
+    """More values tie at the bound than are broadcast: all are returned, with exact counts."""
+    rnd = random.Random(11)
+    counts = Counter({f"{rnd.getrandbits(160):040x}": 2 for _ in range(3000)}) | Counter({f"{'cd' * 15}{i:010x}": 2 for i in range(300)})
+    df = hashes(spark, counts)
+    monkeypatch.setattr(heavy, "KEEP_MAX", 20)
+    assert {r["value"]: r["n"] for r in heavy.top_values(df, F.col("v"), 10).collect()} == dict(counts)
+
+
+def test_more_flat_values_than_counters_of_a_round(spark):
+    df = spark.range(100_000).select(F.sha1(F.col("id").cast("string").cast("binary")).alias("v"))
+    top = heavy.top_values(df, F.col("v"), 10)
+    assert top.count() == 100_000 and top.where("n <> 1").count() == 0
