@@ -24,6 +24,7 @@ import base64
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,21 +85,22 @@ def poisson_steps(rate: float, limit: int) -> list[float]:
     if rate >= limit:
         return [0.0] * limit
 
-    def steps(m: float) -> list[float]:
-        out, term, total = [], math.exp(-m), 0.0
-        for k in range(limit):
-            total += term
-            out.append(total)
-            term *= m / (k + 1)
-        return out
+    log_k = np.array([math.lgamma(k + 1) for k in range(limit)])
+
+    def steps(m: float) -> np.ndarray:
+        # in logarithms, as exp(-m) is 0 from about 745 on
+        return np.minimum(np.cumsum(np.exp(np.arange(limit) * math.log(m) - m - log_k)), 1.0)
+
+    def mean(m: float) -> float:
+        return float((1 - steps(m)).sum())
 
     low, high = 0.0, 1.0
-    while sum(1 - x for x in steps(high)) < rate and high < 600:
+    while mean(high) < rate:  # ends: the mean comes as near to the limit as numbers do
         high *= 2
     for _ in range(80):
         mid = (low + high) / 2
-        low, high = (mid, high) if sum(1 - x for x in steps(mid)) < rate else (low, mid)
-    return steps(high)
+        low, high = (mid, high) if mean(mid) < rate else (low, mid)
+    return steps(high).tolist()
 
 
 def _uniform(*cols: Column) -> Column:

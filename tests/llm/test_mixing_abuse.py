@@ -87,3 +87,11 @@ def test_hostile_documents(spark):
 
 def test_spelling():
     assert abuse.tokens(abuse.plain("F-U-C-K p***y puuussy sh1t 1984 ｗｏｒｄ wоrd 你好")) == ["fuck", abuse.MASKED, "pussy", "shit", abuse.NUMBER, "word", "word", "你", "好"]
+
+
+def test_rates_of_any_size():
+    """A high repeat limit: the mean of the drawn counts is the rate that was asked for."""
+    for limit, rate in ((1000, 700.0), (1000, 740.0), (1000, 900.0), (1000, 999.5), (5000, 4000.0), (3, 2.9), (1, 0.2)):
+        steps = mixing.poisson_steps(rate, limit)
+        assert len(steps) == limit and all(0 <= a <= b <= 1 for a, b in zip(steps, steps[1:]))
+        assert abs(sum(1 - x for x in steps) - rate) < 1e-6 * rate + 1e-6
