@@ -1,11 +1,15 @@
 """Flat tables from deeply nested capture records.
 
-Method: structural-variant tables. A tree automaton gives every element of a
-record a state from the state of its parent and its own shape (its type and
-which fields it has). Each state is a variant with its own typed columns; all
-variants share the supertype keys (record, node, parent, kind, variant). The
-elements of a payload are emitted in one pass by an iterative walk, so depth is
-not limited, and are then routed by variant to their tables.
+Method: structural-variant tables. A bottom-up tree automaton classifies every
+element by its shape: the state of an element is its place in the record together
+with the set of its fields and the type of each (a scalar's own type, of a list or an
+object that it is one). The states are numbered by their rule and so are the same on
+every executor and in every batch. Each state is a variant with a table of its own,
+whose columns are the typed fields of the shape; all variants share the supertype
+keys (record, node, parent, kind, variant). A payload is parsed once: its elements
+are emitted in one pass by an iterative walk, so depth is not limited, and are routed to
+their tables by the variant, which is the partition of the written table. Fields that
+no variant knows by a typed column are kept as JSON in ``more``.
 
 Defined results
 - a payload that is null or no JSON gives no rows; one that is an object
@@ -14,33 +18,42 @@ Defined results
   of a list counts as a list of one; a string that holds JSON counts as the
   value it holds, a string that does not stays what it is;
 - of a field that occurs twice in an object the last counts;
-- numbers may be strings; what is not a whole number in the bigint range gives null.
+- numbers may be strings; what is not a whole number in the bigint range gives null
+  (whatever its length), and stays as it was in ``more``.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# -- the automaton: (state of the parent, list field) -> letter of the child, and
-# the child's state by its shape
+from driftnet.session import cut_lineage
+
+# -- the automaton: what stands in a list, and the fields a shape is told by, each
+# with the column that holds its value if it has the right type
+SORTS = {
+    "torrent": {"name": "name", "info_hash": "info_hash", "total_size": "size", "timestamp": "ts", "piece_length": "piece_length", "files": None, "peers": None},
+    "node": {"dir": "name", "path": "name", "size": "size", "children": None},
+    "peer": {"ip": "ip", "port": "port", "have": None},
+    "have": {"piece_from": "piece_from", "piece_to": "piece_to"},
+}
+#: (sort, list field) -> letter and sort of the elements in it
 CHILD_LISTS = {
-    "torrent": (("files", "f"), ("peers", "p")),
-    "dir": (("children", "f"),),
-    "file": (("children", "f"),),
-    "peer": (("have", "h"),),
+    "torrent": (("files", "f", "node"), ("peers", "p", "peer")),
+    "node": (("children", "f", "node"),),
+    "peer": (("have", "h", "have"),),
     "have": (),
 }
-LETTER_KIND = {"t": "torrent", "f": "node", "p": "peer", "h": "have"}
-
-ELEMENT_SCHEMA = (
-    "raw_id long, node string, parent string, kind string, variant string, name string, info_hash string, "
-    "size long, ts long, piece_length long, ip string, port int, piece_from long, piece_to long"
-)
+_TYPES = {"name": str, "info_hash": str, "ip": str}  # the other columns are whole numbers
+COLUMNS = {"name": "string", "info_hash": "string", "size": "long", "ts": "long", "piece_length": "long", "ip": "string", "port": "int", "piece_from": "long", "piece_to": "long"}
+KEYS = {"raw_id": "long", "node": "string", "parent": "string", "kind": "string", "variant": "string"}
+ELEMENT_SCHEMA = ", ".join(f"{n} {t}" for n, t in {**KEYS, **COLUMNS, "more": "string"}.items())
 _FIELDS = [f.split()[0] for f in ELEMENT_SCHEMA.split(", ")]
 _ARROW = pa.schema([
     (n, {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}[t])
@@ -53,18 +66,24 @@ def _refuse(token: str) -> None:
     raise ValueError(token)
 
 
+def _number(digits: str) -> int | Decimal:
+    return int(digits) if len(digits) < 40 else Decimal(digits)  # no bigint, but a number
+
+
 def _parse(text: str) -> object:
     """The JSON value of a text; _MISSING if it holds none."""
     try:
-        return json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return _deep_parse(text) if text.count("[") + text.count("{") > 400 else _MISSING
+        return json.loads(text, parse_constant=_refuse, parse_int=_number)
+    except RecursionError:
+        return _deep_parse(text)
+    except ValueError:
+        return _MISSING
 
 
 def _deep_parse(text: str) -> object:
     """For texts nested too deeply for the recursive parser: the same grammar,
     read with a stack. Scalars and strings are left to the json module."""
-    decoder = json.JSONDecoder(parse_constant=_refuse)
+    decoder = json.JSONDecoder(parse_constant=_refuse, parse_int=_number)
     blank = " \t\n\r"
     stack: list[tuple[object, str | None]] = []
     at, end, done, want_value = 0, len(text), _MISSING, True
@@ -161,18 +180,41 @@ def _text(value: object) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def _state(kind: str, value: object) -> tuple[str, str]:
-    """Transition: (kind, variant) of an element from its place and shape."""
-    shape = "object" if isinstance(value, dict) else "text" if isinstance(value, str) else "scalar"
-    if kind == "node":
-        if shape == "object" and "dir" in value:
-            return "dir", "dir_open" if "children" in value else "dir_leaf"
-        return "file", f"file_{shape}" if shape != "object" else ("file_sized" if "size" in value else "file_bare")
-    if kind == "peer":
-        return "peer", f"peer_{shape}"
-    if kind == "torrent":
-        return "torrent", "torrent_multi" if shape == "object" and "files" in value else "torrent_plain"
-    return "have", f"have_{shape}"
+def _dump(value: object) -> str:
+    """JSON text of a value of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False, default=str)
+    except RecursionError:
+        out, todo = [], [(value, "")]
+        while todo:
+            v, after = todo.pop()
+            if isinstance(v, (list, dict)) and v:
+                pairs = [(json.dumps(k, ensure_ascii=False) + ": ", x) for k, x in v.items()] if isinstance(v, dict) else [("", x) for x in v]
+                out.append("{" if isinstance(v, dict) else "[")
+                todo.append((_Text("}" if isinstance(v, dict) else "]"), after))
+                for n, (name, x) in enumerate(reversed(pairs)):
+                    todo += [(x, ", " if n else ""), (_Text(name), "")]
+            else:
+                out.append(v.text if isinstance(v, _Text) else json.dumps(v, ensure_ascii=False, default=str))
+                out.append(after)
+        return "".join(out)
+
+
+class _Text:
+    def __init__(self, text: str):
+        self.text = text
+
+
+@functools.lru_cache(65536)
+def state(sort: str, shape: tuple[tuple[str, bool], ...] | str) -> tuple[str, str]:
+    """The automaton's transition: (kind, variant) of an element of a sort. The shape of an
+    object is its known fields, each with whether the value has the right type; that of another
+    value is what it is."""
+    fields = shape if isinstance(shape, tuple) else ()
+    kind = ("dir" if any(f == "dir" for f, _ in fields) else "file") if sort == "node" else sort
+    if isinstance(shape, str):
+        return kind, f"{kind}_{shape}"
+    return kind, f"{kind}_object" + "".join(f"_{f}" if typed else f"_odd_{f}" for f, typed in fields)
 
 
 def _socket(text: str) -> tuple[str | None, int | None]:
@@ -180,55 +222,82 @@ def _socket(text: str) -> tuple[str | None, int | None]:
     return (ip.strip("[]"), int(port)) if port.isdigit() and len(port) < 6 and ip else (None, None)
 
 
-def elements_of(payload: str | None) -> Iterator[tuple]:
-    """The rows of one payload, without its record key."""
-    if payload is None:
-        return
-    root = _held(payload)
-    if not isinstance(root, dict):
-        return
-    todo = [("t", "", "", root.get("torrents"))]
+def _root(payload: str | None) -> dict | None:
+    root = None if payload is None else _held(payload)
+    return root if isinstance(root, dict) else None
+
+
+def _columns(sort: str, item: object) -> tuple[tuple | str, dict, object]:
+    """(shape, columns, what no column holds) of an element."""
+    if not isinstance(item, dict):
+        if not isinstance(item, str):
+            return "scalar", {}, item
+        if sort == "peer":
+            ip, port = _socket(item)
+            return "text", {"ip": ip, "port": port}, item if ip is None else None
+        return "text", {"name": item} if sort == "node" else {}, None if sort == "node" else item
+    shape, values, rest = [], {}, {}
+    for field, v in item.items():
+        if field not in SORTS[sort]:
+            rest[field] = v
+    for field, column in SORTS[sort].items():
+        if field not in item:
+            continue
+        if column is None:
+            shape.append((field, True))
+            continue
+        v = _text(item[field]) if column in _TYPES else _whole(item[field])
+        if column == "port" and v is not None and not 0 <= v < 65536:
+            v = None
+        shape.append((field, v is not None))
+        if v is None and item[field] is not None or column in values or isinstance(item[field], list):
+            rest[field] = item[field]
+        values.setdefault(column, v)
+    return tuple(shape), values, rest or None
+
+
+def _walk(root: dict) -> Iterator[tuple]:
+    todo = [("t", "torrent", "", "", root.get("torrents"))]
     while todo:
-        letter, parent, prefix, value = todo.pop()
+        letter, sort, parent, prefix, value = todo.pop()
         for at, item in enumerate(_listed(value)):
             item = _held(item)
             if item is None:
                 continue
             node = f"{prefix}{letter}{at}"
-            kind, variant = _state(LETTER_KIND[letter], item)
-            o = item if isinstance(item, dict) else {}
-            name = info = ip = None
-            size = ts = piece = port = low = high = None
-            if kind == "torrent":
-                name, info = _text(o.get("name")), _text(o.get("info_hash"))
-                size, ts, piece = _whole(o.get("total_size")), _whole(o.get("timestamp")), _whole(o.get("piece_length"))
-            elif kind == "dir":
-                name = _text(o.get("dir"))
-            elif kind == "file":
-                name, size = (_text(o.get("path")) if o else _text(item)), _whole(o.get("size"))
-            elif kind == "peer":
-                if isinstance(item, str):
-                    ip, port = _socket(item)
-                else:
-                    ip, port = _text(o.get("ip")), _whole(o.get("port"))
-                    port = port if port is not None and 0 <= port < 65536 else None
-            else:
-                low, high = _whole(o.get("piece_from")), _whole(o.get("piece_to"))
-            yield node, parent, kind, variant, name, info, size, ts, piece, ip, port, low, high
-            for field, child in CHILD_LISTS[kind]:
-                if field in o:
-                    todo.append((child, node, node + ".", o[field]))
+            shape, values, rest = _columns(sort, item)
+            kind, variant = state(sort, shape)
+            yield node, parent, kind, variant, *map(values.get, COLUMNS), None if rest is None else _dump(rest)
+            if isinstance(item, dict):
+                for field, child, child_sort in CHILD_LISTS[sort]:
+                    if field in item:
+                        todo.append((child, child_sort, node, node + ".", item[field]))
+
+
+def elements_of(payload: str | None) -> Iterator[tuple]:
+    """The rows of one payload, without its record key."""
+    root = _root(payload)
+    if root is not None:
+        yield from _walk(root)
 
 
 def flatten(raw: DataFrame) -> DataFrame:
-    """All elements of all payloads with the columns of ELEMENT_SCHEMA. Rows
-    with a null raw_id keep it; a record that is repeated gives its rows again."""
+    """All elements of all payloads with the columns of ELEMENT_SCHEMA, and of each payload that is an
+    object a row of kind ``record`` with its own fields. Rows with a null raw_id keep it; a record that
+    is repeated gives its rows again."""
+
+    def rows(payload: str | None) -> Iterator[tuple]:
+        root = _root(payload)
+        if root is not None:
+            rest = {k: v for k, v in root.items() if k != "torrents"}
+            yield "", None, "record", "record_object", *[None] * len(COLUMNS), _dump(rest) if rest else None
+            yield from _walk(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in _FIELDS]
         for batch in batches:
             for raw_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for row in elements_of(payload):
+                for row in rows(payload):
                     cols[0].append(raw_id)
                     for c, v in zip(cols[1:], row):
                         c.append(v.encode("utf-8", "replace").decode() if isinstance(v, str) else v)
@@ -240,18 +309,30 @@ def flatten(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("raw_id").cast("long"), F.col("payload").cast("string")).mapInArrow(run, ELEMENT_SCHEMA)
 
 
-_TABLES = {
-    "torrents": ("torrent", ["name", "info_hash", "size", "ts", "piece_length"]),
-    "dirs": ("dir", ["name"]),
-    "files": ("file", ["name", "size"]),
-    "peers": ("peer", ["ip", "port"]),
-    "ranges": ("have", ["piece_from", "piece_to"]),
-}
+def _columns_of(variant: str) -> list[str]:
+    """The typed columns of a variant's table."""
+    kind, _, shape = variant.partition("_")
+    sort = "node" if kind in ("dir", "file") else kind
+    if shape == "text":
+        return {"peer": ["ip", "port"], "node": ["name"]}.get(sort, [])
+    return list(dict.fromkeys(c for f, c in SORTS.get(sort, {}).items() if c and f"{shape}_".find(f"_{f}_") >= 0 and f"{shape}_".find(f"_odd_{f}_") < 0))
 
 
 def subtype_tables(elements: DataFrame) -> dict[str, DataFrame]:
-    """One typed table per subtype, each with the supertype keys."""
-    keys = ["raw_id", "node", "parent", "variant"]
-    return {
-        t: elements.where(F.col("kind") == kind).select(*keys, *cols) for t, (kind, cols) in _TABLES.items()
-    }
+    """A table per variant, of the supertype keys, the typed columns of its shape and ``more``.
+    The elements are made once and routed by variant to folders of the shared folder; there
+    are as many variants as the automaton has states that occur."""
+    routed = cut_lineage(elements, "variant")
+    found = sorted(r[0] for r in routed.select("variant").distinct().collect())
+    return {v: routed.where(F.col("variant") == v).select(*KEYS, *_columns_of(v), "more") for v in found}
+
+
+def supertype_tables(subtypes: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """torrents, dirs, files, peers, ranges and records: the union of the variants of each kind,
+    with the columns of the kind; what a variant lacks is null."""
+    plural = {"torrent": "torrents", "dir": "dirs", "file": "files", "peer": "peers", "have": "ranges", "record": "records"}
+    out: dict[str, DataFrame] = {}
+    for variant, df in subtypes.items():
+        name = plural[variant.partition("_")[0]]
+        out[name] = df if name not in out else out[name].unionByName(df, allowMissingColumns=True)
+    return out

@@ -62,17 +62,21 @@ def p4_hash_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per element of each payload that parses."""
-    return flatten(table(spark, sf_dir, "torrent_raw")).select("raw_id", "node", "parent", "kind").distinct()
+    """One row per element of each payload that parses: the supertype keys of all variants' tables."""
+    out = None
+    for variant, df in subtype_tables(flatten(table(spark, sf_dir, "torrent_raw"))).items():
+        if variant != "record_object":
+            one = df.select("raw_id", "node", "parent", "kind")
+            out = one if out is None else out.unionByName(one)
+    empty = spark.createDataFrame([], "raw_id long, node string, parent string, kind string")
+    return (empty if out is None else out).distinct()
 
 
 def p3_subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each subtype table by structural variant."""
-    parts = subtype_tables(flatten(table(spark, sf_dir, "torrent_raw")))
-    out = None
-    for name, df in parts.items():
-        one = df.groupBy("variant").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "variant", "rows")
-        out = one if out is None else out.unionByName(one)
+    """Rows of each subtype table, and how many of them keep more than its columns hold."""
+    out = spark.createDataFrame([], "variant string, rows long, with_more long")
+    for variant, df in subtype_tables(flatten(table(spark, sf_dir, "torrent_raw"))).items():
+        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("rows"), F.count("more").alias("with_more")).select(F.lit(variant).alias("variant"), "rows", "with_more"))
     return out
 
 
@@ -89,7 +93,32 @@ _MESSAGES = f"""{ANNOUNCES}, {TORRENTS}, msg AS (
   UNION ALL SELECT 'torrents', delivery_id, received_at, h || '/' || timestamp::VARCHAR FROM tor
 ), ord AS (SELECT *, row_number() OVER (PARTITION BY src, message ORDER BY received_at NULLS LAST, delivery_id) AS rn FROM msg)"""
 
+
+
+def _held(v: str) -> str:
+    return f"CASE WHEN json_type({v}) = 'VARCHAR' AND json_valid({v}->>'$') THEN CAST({v}->>'$' AS JSON) ELSE {v} END"
+
+
+def _list(v: str) -> str:
+    return f"CASE WHEN json_type({v}) IS NULL OR json_type({v}) = 'NULL' THEN [] WHEN json_type({v}) = 'ARRAY' THEN CAST({v} AS JSON[]) ELSE [{v}] END"
+
+
+#: a list of pairs (letter, list) for each element, one round of the recursion per level
+_CHILDREN = "CASE e.letter WHEN 't' THEN [{'l': 'f', 'v': e.v->'$.files'}, {'l': 'p', 'v': e.v->'$.peers'}] WHEN 'f' THEN [{'l': 'f', 'v': e.v->'$.children'}] WHEN 'p' THEN [{'l': 'h', 'v': e.v->'$.have'}] ELSE [] END"
+
 SQL = {
+    "p3_found": f"""WITH RECURSIVE r0 AS (SELECT raw_id, CAST(payload AS JSON) AS v FROM torrent_raw WHERE payload IS NOT NULL AND json_valid(payload)),
+  r AS (SELECT raw_id, {_held('v')} AS v FROM r0),
+  e AS (SELECT raw_id, '' AS node, NULL::VARCHAR AS parent, '' AS letter, v FROM r WHERE json_type(v) = 'OBJECT'
+    UNION ALL SELECT raw_id, node, parent, letter, v FROM (
+      SELECT raw_id, prefix || letter || (i - 1) AS node, parent, letter, {_held('x')} AS v FROM (
+        SELECT raw_id, parent, prefix, letter, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (
+          SELECT raw_id, parent, prefix, letter, {_list('w')} AS a FROM (
+            SELECT raw_id, parent, prefix, u.l AS letter, {_held('u.v')} AS w FROM (
+              SELECT e.raw_id, e.node AS parent, CASE WHEN e.node = '' THEN '' ELSE e.node || '.' END AS prefix,
+                unnest(CASE WHEN e.letter = '' THEN [{{'l': 't', 'v': e.v->'$.torrents'}}] ELSE {_CHILDREN} END) AS u FROM e WHERE json_type(e.v) = 'OBJECT'))))) WHERE json_type(v) <> 'NULL')
+  SELECT DISTINCT raw_id, node, parent, CASE letter WHEN 't' THEN 'torrent' WHEN 'p' THEN 'peer' WHEN 'h' THEN 'have' ELSE CASE WHEN json_type(v) = 'OBJECT' AND list_contains(json_keys(v), 'dir') THEN 'dir' ELSE 'file' END END AS kind
+  FROM e WHERE letter <> ''""",
     "p4_hash_profile": f"""WITH {ANNOUNCES}, s AS (SELECT h, sensor, count(*) AS n FROM ann WHERE h IS NOT NULL AND sensor IS NOT NULL GROUP BY ALL),
   m AS (SELECT h, sensor FROM s QUALIFY row_number() OVER (PARTITION BY h ORDER BY n DESC, sensor) = 1)
   SELECT a.h AS info_hash, count(*) AS announces, count(DISTINCT peer) AS peers, epoch_us(min(discovered_at)) AS first_us, epoch_us(max(discovered_at)) AS last_us,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import random
 
-from driftnet.operators.nested import elements_of, flatten, subtype_tables
+from driftnet.operators.nested import elements_of, flatten, subtype_tables, supertype_tables
 
 
 def nodes(payload):
@@ -81,12 +81,35 @@ def test_depth_without_limit():
     assert n == deep + 2
 
 
+def test_numbers_of_any_length():
+    p = '{"torrents": [{"total_size": ' + "9" * 5000 + ', "name": "n"}, {"total_size": 12}]}'
+    rows = list(elements_of(p))
+    assert [r[0] for r in rows] == ["t0", "t1"] and [r[6] for r in rows] == [None, 12]
+    assert "9" * 5000 in rows[0][-1]  # kept as it was
+
+
+def test_deep_value_of_an_unknown_field():
+    deep = 20_000
+    p = '{"torrents":{"name":"x","odd":' + '{"a":[1,' * deep + '"é"' + "]}" * deep + "}}"
+    (row,) = elements_of(p)
+    more = row[-1]
+    assert more.replace(" ", "") == '{"odd":' + '{"a":[1,' * deep + '"é"' + "]}" * deep + "}"
+
+
 def test_tables(spark):
-    payload = json.dumps({"torrents": [{"name": "n", "total_size": "7", "files": [{"path": "a", "size": 5}, {"dir": "d"}], "peers": ["1.2.3.4:56", {"ip": "::1", "port": 70000}]}]})
+    payload = json.dumps({"capture": {"by": "x"}, "torrents": [{"name": "n", "total_size": "7", "files": [{"path": "a", "size": 5}, {"path": "b", "md5": "z"}, "c", 3, {"dir": "d"}], "peers": ["1.2.3.4:56", {"ip": "::1", "port": 70000}]}]})
     raw = spark.createDataFrame([(1, payload, "z"), (None, payload, None), (2, None, None), (3, "x", None)], "raw_id long, payload string, node string")
     t = subtype_tables(flatten(raw))
-    assert sorted((r["raw_id"] or 0, r["name"], r["size"]) for r in t["torrents"].collect()) == [(0, "n", 7), (1, "n", 7)]
-    assert {(r["variant"], r["ip"], r["port"]) for r in t["peers"].collect()} == {("peer_text", "1.2.3.4", 56), ("peer_object", "::1", None)}
-    assert {r["variant"] for r in t["dirs"].collect()} == {"dir_leaf"}
-    assert t["files"].count() == 2 and t["ranges"].count() == 0
-    assert flatten(raw.limit(0)).count() == 0
+    assert set(t) == {
+        "record_object", "torrent_object_name_total_size_files_peers", "file_object_path_size", "file_object_path", "file_text", "file_scalar", "dir_object_dir", "peer_text", "peer_object_ip_odd_port"
+    }
+    keys = ["raw_id", "node", "parent", "kind", "variant"]
+    assert t["torrent_object_name_total_size_files_peers"].columns == [*keys, "name", "size", "more"] and t["file_object_path"].columns == [*keys, "name", "more"]
+    assert t["peer_object_ip_odd_port"].columns == [*keys, "ip", "more"] and t["file_scalar"].columns == [*keys, "more"]
+    assert [json.loads(r["more"]) for r in t["file_object_path"].collect()] == [{"md5": "z"}] * 2
+    assert {r["more"] for r in t["peer_object_ip_odd_port"].collect()} == {'{"port": 70000}'}
+    s = supertype_tables(t)
+    assert sorted((r["raw_id"] or 0, r["name"], r["size"]) for r in s["torrents"].collect()) == [(0, "n", 7), (1, "n", 7)]
+    assert s["files"].count() == 8 and {(r["ip"], r.asDict().get("port")) for r in s["peers"].collect()} == {("1.2.3.4", 56), ("::1", None)}
+    assert [json.loads(r["more"]) for r in s["records"].collect()] == [{"capture": {"by": "x"}}] * 2
+    assert flatten(raw.limit(0)).count() == 0 and subtype_tables(flatten(raw.limit(0))) == {}
