@@ -129,22 +129,29 @@ def read_message(data: bytes | None) -> dict | None:
         return None
 
 
+def _utf8(data: object) -> str | None:
+    try:
+        return data.decode() if isinstance(data, bytes) else None
+    except UnicodeDecodeError:
+        return None
+
+
 def read_info(data: bytes | None) -> dict | None:
     """An info dictionary with its defaults, or None: a missing name is
-    'Unknown', a missing piece length 0; a files list wins over a single length,
+    'Unknown', as is one that is not UTF-8, a missing piece length 0; a files list wins over a single length,
     even if empty; entries without a length are skipped, negative ones spoil the
     record; path parts that are no text are skipped."""
     try:
         d = decode(bytes(data))
-        name = d.get(b"name")
-        name = name.decode() if isinstance(name, bytes) else "Unknown"
+        name = _utf8(d.get(b"name"))
+        name = "Unknown" if name is None else name
         files = d.get(b"files")
         if isinstance(files, list):
             out = []
             for f in files:
                 if isinstance(f, dict) and isinstance(f.get(b"length"), int):
                     parts = f.get(b"path") if isinstance(f.get(b"path"), list) else []
-                    out.append({"path": "/".join(p.decode() for p in parts if isinstance(p, bytes)), "size": f[b"length"]})
+                    out.append({"path": "/".join(t for p in parts if (t := _utf8(p)) is not None), "size": f[b"length"]})
         else:
             n = d.get(b"length")
             out = [{"path": name, "size": n}] if isinstance(n, int) else []

@@ -7,8 +7,12 @@ that the rule names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PACKET = 8192
 # fixed values: labels of message and query types
@@ -62,6 +66,27 @@ def family_wanted(family: Column, netmode: str) -> Column:
     return F.lit(True) if netmode == "dual" else family == (4 if netmode == "v4" else 6)
 
 
+def user_predicate(test: Callable[[str], bool], on_failure: bool | None = False) -> Callable[[Column | str], Column]:
+    """A user's function of a text as a column function. Where it raises, the result is on_failure,
+    or with None the query fails; a null text is not asked about and gives false."""
+
+    def one(text: str | None) -> bool:
+        if text is None:
+            return False
+        try:
+            return bool(test(text))
+        except Exception:
+            if on_failure is None:
+                raise
+            return on_failure
+
+    @F.pandas_udf(T.BooleanType())
+    def ask(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=bool)
+
+    return ask
+
+
 def discover(messages: DataFrame, secret: str, hash_filter: Column | None = None) -> DataFrame:
     """Each announce message with the stage that ends it (``outcome``): not_announce,
     no_args, missing, invalid_token, bad_hash, filtered, no_port or discovered.

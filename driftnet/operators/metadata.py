@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftnet.operators.skew import spread_join
+
 PIECE = 16_384
 MAX_METADATA = 10 * 1024 * 1024
 
@@ -34,12 +36,12 @@ def requested_pieces(size: Column) -> Column:
 
 
 def reassembled(pieces: DataFrame, key: str) -> DataFrame:
-    """(key, data, n, complete): the pieces of each key in order. A metadata block
-    has at most 640 pieces, so a group is bounded; complete means that all
-    indices from 0 to the last are there."""
-    parts = F.array_sort(F.collect_list(F.struct("piece", "data")))
+    """(key, data, n, complete): the pieces of each key in order; complete means that all
+    indices from 0 to the last are there. A key's pieces meet in one row: they are those of one
+    block, which the caller bounds (a metadata block has at most 640)."""
+    parts = F.array_sort(F.collect_list(F.struct("piece", F.hex("data").alias("data"))))
     g = pieces.groupBy(key).agg(parts.alias("parts"), F.max("piece").alias("last"))
-    data = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["data"]))
+    data = F.unhex(F.array_join(F.transform("parts", lambda x: x["data"]), ""))
     return g.select(key, data.alias("data"), F.size("parts").alias("n"), (F.size("parts") == F.col("last") + 1).alias("complete"))
 
 
@@ -94,14 +96,17 @@ def single_file(files: Column, name: Column, size: Column) -> Column:
     return F.when(files.isNull(), F.array(F.struct(name.alias("path"), size.alias("size")))).otherwise(files)
 
 
-def assemble(announces: DataFrame, records: DataFrame) -> DataFrame:
+def assemble(announces: DataFrame, records: DataFrame, *spread: str) -> DataFrame:
     """One output record per announcement that the lookup finds; a miss makes the
-    row vanish. announces: info_hash, peer_ip, peer_port, discovered_at; records:
-    one row per info_hash with name, files, piece_length."""
-    joined = announces.join(records, "info_hash")
-    files = flattened_files(F.col("files"))
-    return joined.select(
+    row vanish. announces: info_hash, peer_ip, peer_port, discovered_at and, if there are any,
+    columns ``spread`` that tell them apart better than these; records: one row per info_hash with name, files, piece_length.
+
+    What a record gives is worked out before the join, once per record, and a hash that
+    holds a large share of the announcements is split (skew.spread_join)."""
+    made = records.select("info_hash", "name", flattened_files(F.col("files")).alias("files"), "piece_length").select(
         "info_hash", magnet(F.col("info_hash")).alias("magnet_link"), F.coalesce("name", F.lit("Unknown")).alias("name"),
-        total_of(files).alias("total_size"), files.alias("files"), F.coalesce("piece_length", F.lit(0)).cast("long").alias("piece_length"),
-        F.array(socket_text(F.col("peer_ip"), F.col("peer_port"))).alias("peers"), F.unix_timestamp("discovered_at").alias("timestamp"),
+        total_of(F.col("files")).alias("total_size"), "files", F.coalesce("piece_length", F.lit(0)).cast("long").alias("piece_length"),
     ).where(F.col("total_size") > 0)
+    met = spread_join(announces.select("info_hash", "peer_ip", "peer_port", "discovered_at", *spread), made, "info_hash", spread or ["peer_ip", "peer_port", "discovered_at"])
+    peers = F.array(socket_text(F.col("peer_ip"), F.col("peer_port")))
+    return met.select("info_hash", "magnet_link", "name", "total_size", "files", "piece_length", peers.alias("peers"), F.unix_timestamp("discovered_at").alias("timestamp"))

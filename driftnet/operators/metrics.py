@@ -20,12 +20,22 @@ def log2_bucket(size: Column) -> Column:
     return F.when(size > 0, F.pow(F.lit(2), F.length(F.bin(size))).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def pressure_tier(pressure: Column) -> Column:
-    """(batch, sleep_ms) by queue pressure; bounds belong to the stricter tier."""
-    def tier(batch: int, sleep: int) -> Column:
-        return F.struct(F.lit(batch).alias("batch"), F.lit(sleep).alias("sleep_ms"))
+#: Least pressure, batch and sleep in ms of each tier; a bound belongs to the stricter one.
+TIERS = ((0.95, 0, 1000), (0.8, 20, 500), (float("-inf"), 200, 10))
+
+
+def batch_of(pressure: float) -> int:
+    """The batch of the tier of a pressure."""
+    return next(batch for least, batch, _ in TIERS if pressure >= least)
 
-    return F.when(pressure < 0.8, tier(200, 10)).when(pressure < 0.95, tier(20, 500)).otherwise(tier(0, 1000))
+
+def pressure_tier(pressure: Column) -> Column:
+    """(batch, sleep_ms) by queue pressure; null for null."""
+    out = None
+    for least, batch, sleep in TIERS:
+        tier = F.struct(F.lit(batch).alias("batch"), F.lit(sleep).alias("sleep_ms"))
+        out = F.when(pressure >= least, tier) if out is None else out.when(pressure >= least, tier)
+    return out
 
 
 def drop_rate(received: Column, dropped: Column) -> Column:
@@ -47,21 +57,31 @@ def running_total(df: DataFrame, delta: str, block: Column, *order: str, name: s
     return blocked.join(starts, "__b").withColumn(name, F.col("__start") + F.sum(delta).over(inside)).drop("__b", "__start")
 
 
-def admission(arrivals: DataFrame, key: str, tick: str, capacity: int, drain: int) -> DataFrame:
-    """(key, received, dropped, dispatched) of a bounded queue per key that takes
-    ``drain`` items per tick and drops the newest that do not fit. arrivals has
-    one row per key and tick with ``n``: a summary, folded in order of ticks."""
+def admission_ticks(arrivals: DataFrame, key: str, tick: str, capacity: int, drain: int) -> DataFrame:
+    """(key, tick, received, dropped, depth) after each tick of a bounded queue per key that takes
+    ``drain`` items per tick and drops the newest that do not fit; received and dropped
+    are totals since the beginning. arrivals has one row per key and tick with ``n``: a
+    summary (a row a minute, whatever the load), folded in order of ticks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[str, list[int]] = {}  # depth, last tick, received, dropped
+        state: dict[str, tuple[int, int, int, int]] = {}  # depth, last tick, received, dropped
         for pdf in batches:
-            for k, t, n in zip(pdf["k"], pdf["t"], pdf["n"]):
-                s = state.setdefault(k, [0, t, 0, 0])
-                depth = max(0, s[0] - drain * (t - s[1]))
+            out = []
+            for k, t, n in zip(pdf["k"], pdf["t"].tolist(), pdf["n"].tolist()):
+                depth, last, received, dropped = state.get(k, (0, t, 0, 0))
+                depth = max(0, depth - drain * (t - last))
                 fits = min(n, capacity - depth)
-                state[k] = [depth + fits, t, s[2] + n, s[3] + n - fits]
-        yield pd.DataFrame([(k, r, d, r - d) for k, (_, _, r, d) in state.items()], columns=["k", "received", "dropped", "dispatched"])
+                state[k] = depth + fits, t, received + n, dropped + n - fits
+                out.append((k, t, received + n, dropped + n - fits, depth + fits))
+            yield pd.DataFrame(out, columns=["k", "t", "received", "dropped", "depth"])
 
     rows = arrivals.select(F.col(key).alias("k"), F.col(tick).cast("long").alias("t"), F.col("n").cast("long").alias("n"))
-    folded = rows.repartition("k").sortWithinPartitions("k", "t").mapInPandas(run, "k string, received long, dropped long, dispatched long")
-    return folded.withColumnRenamed("k", key)
+    folded = rows.repartition("k").sortWithinPartitions("k", "t").mapInPandas(run, "k string, t long, received long, dropped long, depth long")
+    return folded.withColumnsRenamed({"k": key, "t": tick})
+
+
+def admission(arrivals: DataFrame, key: str, tick: str, capacity: int, drain: int) -> DataFrame:
+    """(key, received, dropped, dispatched) in the end: what admission_ticks gives last."""
+    last = F.max(F.struct(tick, "received", "dropped")).alias("__l")
+    end = admission_ticks(arrivals, key, tick, capacity, drain).groupBy(key).agg(last)
+    return end.select(key, "__l.received", "__l.dropped", (F.col("__l.received") - F.col("__l.dropped")).alias("dispatched"))

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -70,8 +71,14 @@ def _number(digits: str) -> int | Decimal:
     return int(digits) if len(digits) < 40 else Decimal(digits)  # no bigint, but a number
 
 
+#: What can be JSON: most strings are told apart by their beginning, without an error being raised.
+_MAYBE_JSON = re.compile(r"[ \t\n\r]*(?:[\[{\"]|-?[0-9][0-9.eE+-]*[ \t\n\r]*$|true|false|null)")
+
+
 def _parse(text: str) -> object:
     """The JSON value of a text; _MISSING if it holds none."""
+    if not _MAYBE_JSON.match(text):
+        return _MISSING
     try:
         return json.loads(text, parse_constant=_refuse, parse_int=_number)
     except RecursionError:

@@ -8,7 +8,7 @@ Where a table of captured packets would be needed, the stored tables stand in:
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,11 +18,14 @@ from driftnet.operators import gate, metadata, metrics, nodes
 from driftnet.plans.registry import Catalogue
 from driftnet.plans.sqltext import ANNOUNCES, TORRENTS
 from driftnet.schemas import OPTIONS
+from driftnet.session import cut_lineage
 from driftnet.sources.tables import table
 
 CATALOGUE = Catalogue()
 query = CATALOGUE.query
 SECRET = "s3"
+STATS_QUEUE = 20  # with one item a minute dispatched: small, so that it fills and empties
+HASH_QUEUE = OPTIONS["hash_queue_capacity"]
 NODE_CAPACITY = nodes.shard_capacity(OPTIONS["node_queue_capacity"])  # of a shard and family
 
 
@@ -249,18 +252,9 @@ def shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH RECURSIVE o AS (SELECT CAST(family AS INT) AS family, CAST(shard AS INT) AS shard, ip || '|' || port AS address, seq,
-    row_number() OVER (PARTITION BY family, shard ORDER BY seq) AS rn FROM nodes),
-  f AS (SELECT DISTINCT family, shard, 0::BIGINT AS rn, []::STRUCT(address VARCHAR, seq BIGINT)[] AS q FROM o
-    UNION ALL SELECT f.family, f.shard, o.rn, CASE WHEN list_contains(list_transform(f.q, lambda x: x.address), o.address) THEN f.q
-      WHEN len(f.q) >= 4 THEN list_append(f.q[2:], {'address': o.address, 'seq': o.seq}) ELSE list_append(f.q, {'address': o.address, 'seq': o.seq}) END
-    FROM f JOIN o ON f.family = o.family AND f.shard = o.shard AND o.rn = f.rn + 1),
-  l AS (SELECT family, shard, q FROM f QUALIFY row_number() OVER (PARTITION BY family, shard ORDER BY rn DESC) = 1),
-  u AS (SELECT family, shard, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM l)
-  SELECT family, shard, CAST(i - 1 AS INT) AS position, x.address AS address, x.seq AS seq FROM u""")
+@query()
 def bounded_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the frontier of a crawl holds in the end, with the default capacity; the SQL
-    twin holds 4 nodes a shard."""
+    """What the frontier of a crawl holds in the end, with the default capacity."""
     return nodes.bounded_queues(frontier(spark, sf_dir), NODE_CAPACITY)
 
 
@@ -483,9 +477,9 @@ def peer_string(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(floor(epoch_us(discovered_at) / 1000000) AS BIGINT) AS timestamp FROM r WHERE list_sum(list_transform(fs, lambda x: x.size)) > 0""")
 def torrent_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: each announcement as a full record, flattened."""
-    records = metadata.latest_record(recorded(spark, sf_dir).select(F.col("h").alias("info_hash"), "timestamp", "delivery_id", "name", "files", "piece_length"), "info_hash")
-    a = table(spark, sf_dir, "announces").select(canonical_hash("info_hash").alias("info_hash"), "peer_ip", "peer_port", "discovered_at")
-    full = metadata.assemble(a, records.select("info_hash", "name", "files", "piece_length"))
+    records = cut_lineage(metadata.latest_record(recorded(spark, sf_dir).select(F.col("h").alias("info_hash"), "timestamp", "delivery_id", "name", "files", "piece_length"), "info_hash"))
+    a = table(spark, sf_dir, "announces").select(canonical_hash("info_hash").alias("info_hash"), "peer_ip", "peer_port", "discovered_at", "delivery_id")
+    full = metadata.assemble(a, records.select("info_hash", "name", "files", "piece_length"), "delivery_id")
     return full.select("info_hash", "magnet_link", "name", "total_size", F.size("files").alias("n_files"), "piece_length", F.col("peers")[0].alias("peer"), "timestamp")
 
 
@@ -498,10 +492,9 @@ def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("delivery_id", "r.name", "r.total_size", F.when(files.isNotNull(), F.size(files)).alias("n_files"), F.get(files, F.lit(0))["path"].alias("first_path"))
 
 
-@query("SELECT delivery_id, CAST(CASE WHEN total_size > 0 THEN ceil(total_size / 1000 / 16384) ELSE 0 END AS INT) AS pieces FROM (SELECT delivery_id, total_size // 1000 * 1000 AS total_size FROM torrents WHERE total_size < 2000000000)")
+@query("SELECT delivery_id, CAST(CASE WHEN total_size > 0 THEN total_size // 16384 + CASE WHEN total_size % 16384 > 0 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS pieces FROM torrents")
 def requested_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of pieces of every record, of any size or none; the SQL twin leaves out what
-    has no size or 2 GB and more, and counts thousandths."""
+    """Number of pieces of every record, of any size or none."""
     return table(spark, sf_dir, "torrents").select("delivery_id", metadata.piece_count(F.col("total_size")).alias("pieces"))
 
 
@@ -524,19 +517,21 @@ def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "torrents").groupBy(metrics.log2_bucket(F.col("total_size")).alias("below")).agg(COUNT.alias("n"))
 
 
-@query("""WITH m AS (SELECT epoch_us(received_at) // 60000000 AS minute, count(*) AS received, CAST(sum(CASE WHEN info_hash IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS dropped FROM announces GROUP BY 1),
-  c AS (SELECT minute, CAST(sum(received) OVER w AS BIGINT) AS received, CAST(sum(dropped) OVER w AS BIGINT) AS dropped FROM m WINDOW w AS (ORDER BY minute))
-  SELECT minute, received, dropped, received - dropped AS dispatched, round(CASE WHEN received > 0 THEN dropped / received * 100 ELSE 0 END, 6) AS drop_rate,
-  CASE WHEN dropped > 80 THEN 'warn' ELSE 'info' END AS severity FROM c""")
+@query(f"""WITH RECURSIVE m AS (SELECT epoch_us(received_at) // 60000000 AS t, count(*) AS n FROM announces WHERE received_at IS NOT NULL GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (ORDER BY t) AS rn FROM m),
+  f AS (SELECT rn, t, least(n, {STATS_QUEUE}) AS depth, n AS received, n - least(n, {STATS_QUEUE}) AS dropped FROM o WHERE rn = 1
+    UNION ALL SELECT o.rn, o.t, greatest(0, f.depth - (o.t - f.t)) + least(o.n, {STATS_QUEUE} - greatest(0, f.depth - (o.t - f.t))), f.received + o.n,
+      f.dropped + o.n - least(o.n, {STATS_QUEUE} - greatest(0, f.depth - (o.t - f.t))) FROM f JOIN o ON o.rn = f.rn + 1)
+  SELECT t AS minute, CAST(received AS BIGINT) AS received, CAST(dropped AS BIGINT) AS dropped, CAST(depth AS BIGINT) AS queue, CAST(received - dropped - depth AS BIGINT) AS dispatched,
+  round(CASE WHEN received > 0 THEN dropped / received * 100 ELSE 0 END, 6) AS drop_rate, CASE WHEN depth / {STATS_QUEUE} * 100 > 80 THEN 'warn' ELSE 'info' END AS severity FROM f""")
 def stats_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative totals at the end of each minute."""
-    a = table(spark, sf_dir, "announces")
-    m = a.groupBy(F.expr("unix_micros(received_at) div 60000000").alias("minute")).agg(COUNT.alias("r"), F.sum(F.col("info_hash").isNull().cast("long")).alias("d"))
-    day = F.floor(F.col("minute") / 1440)
-    c = metrics.running_total(metrics.running_total(m, "r", day, "minute", name="received"), "d", day, "minute", name="dropped")
+    """Cumulative totals, queue and severity by the pressure of the queue, at the end of each minute."""
+    a = table(spark, sf_dir, "announces").where(F.col("received_at").isNotNull())
+    m = a.groupBy(F.expr("unix_micros(received_at) div 60000000").alias("t")).agg(COUNT.alias("n")).withColumn("key", F.lit("all"))
+    c = metrics.admission_ticks(m, "key", "t", STATS_QUEUE, 1)
     return c.select(
-        "minute", big(F.col("received")).alias("received"), big(F.col("dropped")).alias("dropped"), big(F.col("received") - F.col("dropped")).alias("dispatched"),
-        F.round(metrics.drop_rate(F.col("received"), F.col("dropped")), 6).alias("drop_rate"), metrics.severity(F.col("dropped")).alias("severity"),
+        F.col("t").alias("minute"), "received", "dropped", F.col("depth").alias("queue"), (F.col("received") - F.col("dropped") - F.col("depth")).alias("dispatched"),
+        F.round(metrics.drop_rate(F.col("received"), F.col("dropped")), 6).alias("drop_rate"), metrics.severity(F.col("depth") / STATS_QUEUE * 100).alias("severity"),
     )
 
 
@@ -562,19 +557,18 @@ def frontier_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.select("event_id", big(F.col("depth")).alias("depth"), tier["batch"].alias("batch"), tier["sleep_ms"].alias("sleep_ms"))
 
 
-@query("""WITH RECURSIVE m AS (SELECT coalesce(sensor, '') AS sensor, epoch_us(received_at) // 60000000 AS t, count(*) AS n FROM announces WHERE received_at IS NOT NULL GROUP BY ALL),
+@query(f"""WITH RECURSIVE m AS (SELECT coalesce(sensor, '') AS sensor, epoch_us(received_at) // 60000000 AS t, count(*) AS n FROM announces WHERE received_at IS NOT NULL GROUP BY ALL),
   o AS (SELECT *, row_number() OVER (PARTITION BY sensor ORDER BY t) AS rn FROM m),
-  f AS (SELECT sensor, rn, t, least(n, 12) AS depth, n AS received, n - least(n, 12) AS dropped FROM o WHERE rn = 1
-    UNION ALL SELECT o.sensor, o.rn, o.t, greatest(0, f.depth - (o.t - f.t)) + least(o.n, 12 - greatest(0, f.depth - (o.t - f.t))), f.received + o.n,
-      f.dropped + o.n - least(o.n, 12 - greatest(0, f.depth - (o.t - f.t))) FROM f JOIN o ON o.sensor = f.sensor AND o.rn = f.rn + 1)
+  f AS (SELECT sensor, rn, t, least(n, {HASH_QUEUE}) AS depth, n AS received, n - least(n, {HASH_QUEUE}) AS dropped FROM o WHERE rn = 1
+    UNION ALL SELECT o.sensor, o.rn, o.t, greatest(0, f.depth - (o.t - f.t)) + least(o.n, {HASH_QUEUE} - greatest(0, f.depth - (o.t - f.t))), f.received + o.n,
+      f.dropped + o.n - least(o.n, {HASH_QUEUE} - greatest(0, f.depth - (o.t - f.t))) FROM f JOIN o ON o.sensor = f.sensor AND o.rn = f.rn + 1)
   SELECT sensor, CAST(received AS BIGINT) AS received, CAST(dropped AS BIGINT) AS dropped, CAST(received - dropped AS BIGINT) AS dispatched FROM f
   QUALIFY row_number() OVER (PARTITION BY sensor ORDER BY rn DESC) = 1""")
 def admission_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discoveries that a queue of the default capacity takes and drops; the SQL twin's
-    holds 12."""
+    """Discoveries that a queue of the default capacity takes and drops."""
     a = table(spark, sf_dir, "announces").where(F.col("received_at").isNotNull())
     per = a.groupBy(F.coalesce("sensor", F.lit("")).alias("sensor"), F.expr("unix_micros(received_at) div 60000000").alias("t")).agg(COUNT.alias("n"))
-    return metrics.admission(per, "sensor", "t", OPTIONS["hash_queue_capacity"], 1)
+    return metrics.admission(per, "sensor", "t", HASH_QUEUE, 1)
 
 
 @query("SELECT 'announces' AS source, CAST(sum(strlen(peer_addr)) AS BIGINT) AS bytes FROM announces UNION ALL SELECT 'documents', CAST(sum(octet_length(raw)) AS BIGINT) FROM documents")
@@ -592,10 +586,9 @@ def seed_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.join(found, "family").select("r_name", "n_name", "family")
 
 
-@query("SELECT CAST(shard AS INT) AS shard, CAST(family AS INT) AS family, count(*) AS n FROM nodes WHERE shard < 4 GROUP BY ALL")
+@query("SELECT CAST(shard AS INT) AS shard, CAST(family AS INT) AS family, count(*) AS n FROM nodes GROUP BY ALL")
 def union_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of all shards of both families, put together shard by shard; the SQL twin takes
-    the first four only."""
+    """Nodes of all shards of both families, put together shard by shard."""
     n = table(spark, sf_dir, "nodes").select(F.col("shard").cast("int").alias("shard"), F.col("family").cast("int").alias("family"))
     out = n.where(F.col("shard") == 0)
     for s in range(1, nodes.SHARDS):
@@ -631,3 +624,63 @@ def udf_info_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit(b"d6:lengthi"), F.col("total_size").cast("string").cast("binary"), F.lit(b"e"), name, F.lit(b"e"))
     m = t.select("delivery_id", bencode.decode_info(raw).alias("m")).where("m.ok")
     return m.select("delivery_id", "m.value.name", "m.value.total_size", F.size("m.value.files").alias("n_files"))
+
+
+def _list_bytes(items: Column) -> Column:
+    """Byte strings of an array, one after the other."""
+    return F.unhex(F.array_join(F.transform(items, lambda x: F.hex(x)), ""))
+
+
+@query("""WITH f AS (SELECT delivery_id, coalesce(name, 'Unknown') AS name, list_filter(files, lambda x: x.size IS NOT NULL AND x.path IS NOT NULL) AS fs FROM torrents WHERE files IS NOT NULL)
+  SELECT delivery_id, name, CAST(list_sum(list_transform(fs, lambda x: x.size)) AS BIGINT) AS total_size, CAST(len(fs) AS INT) AS n_files, fs[1].path AS first_path
+  FROM f WHERE list_sum(list_transform(fs, lambda x: x.size)) > 0""")
+def udf_info_dict_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Info dictionaries with file lists, paths in parts, written and read back."""
+    t = table(spark, sf_dir, "torrents").where(F.col("files").isNotNull())
+    named = F.filter("files", lambda f: f["size"].isNotNull() & f["path"].isNotNull())
+    entries = F.transform(named, lambda f: F.concat(
+        F.lit(b"d6:lengthi"), f["size"].cast("string").cast("binary"), F.lit(b"e4:pathl"),
+        _list_bytes(F.transform(F.split(f["path"], "/"), lambda p: _netstring(p.cast("binary")))), F.lit(b"ee"),
+    ))
+    name = F.when(F.col("name").isNotNull(), F.concat(F.lit(b"4:name"), _netstring(F.col("name").cast("binary")))).otherwise(F.lit(b""))
+    raw = F.concat(F.lit(b"d5:filesl"), _list_bytes(entries), F.lit(b"e"), name, F.lit(b"e"))
+    m = t.select("delivery_id", bencode.decode_info(raw).alias("m")).where("m.ok")
+    return m.select("delivery_id", "m.value.name", "m.value.total_size", F.size("m.value.files").alias("n_files"), F.get("m.value.files", F.lit(0))["path"].alias("first_path"))
+
+
+PACKET_WORKERS = 4  # what the workers' queues take in a minute
+
+
+@query(f"""WITH m AS (SELECT epoch_us(received_at) // 60000000 AS minute, count(*) AS n FROM announces WHERE received_at IS NOT NULL GROUP BY 1)
+  SELECT 'ok' AS status, CAST(sum(least(n, {PACKET_WORKERS})) AS BIGINT) AS packets FROM m UNION ALL SELECT 'queue_full', CAST(sum(greatest(n - {PACKET_WORKERS}, 0)) AS BIGINT) FROM m""")
+def packet_queue_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets that workers take, and those dropped while all queues are full: each minute takes so many."""
+    a = table(spark, sf_dir, "announces").where(F.col("received_at").isNotNull())
+    m = a.groupBy(F.expr("unix_micros(received_at) div 60000000").alias("minute")).agg(COUNT.alias("n"))
+    both = F.array(
+        F.struct(F.lit("ok").alias("status"), F.least("n", F.lit(PACKET_WORKERS)).alias("p")), F.struct(F.lit("queue_full").alias("status"), F.greatest(F.col("n") - PACKET_WORKERS, F.lit(0)).alias("p"))
+    )
+    return m.select(F.inline(both)).groupBy("status").agg(F.sum("p").cast("long").alias("packets"))
+
+
+@query(f"WITH {ANNOUNCES} SELECT count(*) AS rows, count(h) AS hashes, CAST(sum(octet_length(encode(peer_addr))) AS BIGINT) AS bytes FROM ann")
+def metrics_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics that are observed while a query runs for another purpose: no second pass."""
+    seen = Observation("announced")
+    a = table(spark, sf_dir, "announces").select(canonical_hash("info_hash").alias("h"), "peer_addr")
+    watched = a.observe(seen, COUNT.alias("rows"), F.count("h").alias("hashes"), F.sum(big(F.octet_length("peer_addr"))).alias("bytes"))
+    watched.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["hashes"], seen.get["bytes"])], "rows long, hashes long, bytes long")
+
+
+@query(f"WITH {ANNOUNCES} SELECT h AS info_hash, count(*) AS n FROM ann WHERE h IS NOT NULL AND right(h, 1) NOT IN ('0', 'f') GROUP BY 1")
+def prefetch_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's function decides which hashes are fetched; where it fails, they are not."""
+
+    def wanted(info_hash: str) -> bool:
+        if info_hash.endswith("f"):
+            raise RuntimeError("the user's function failed")
+        return not info_hash.endswith("0")
+
+    per = announced(spark, sf_dir).where(F.col("h").isNotNull()).groupBy(F.col("h").alias("info_hash")).agg(COUNT.alias("n"))
+    return per.where(gate.user_predicate(wanted)("info_hash"))

@@ -18,16 +18,19 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _folder(spark: SparkSession) -> str:
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder for what a stream leaves, where all executors see it."""
     return f"{ensure_shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream gives until its source is read, by way of the shared folder."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+def drained(stream: DataFrame, mode: str = "append", by_batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """All that a stream gives until its source is read, by way of the shared folder; each
+    micro-batch as it is or as by_batch(batch, number) makes it, with the same columns."""
+    spark, folder = stream.sparkSession, stream_folder(stream.sparkSession)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        made = batch if by_batch is None else by_batch(batch, number)
+        made.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     q.awaitTermination()

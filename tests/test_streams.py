@@ -18,16 +18,39 @@ def folder_stream(spark, path, rows, schema, parts):
 
 def test_replay_batch_and_stream(spark, tmp_path):
     spark.dataSource.register(PacketReplay)
-    (tmp_path / "a.txt").write_text("1000000 1.1.1.1 5 2.2.2.2 6881 6431\nbroken line\n2000000 ::1 7 :: 6881\n")
-    (tmp_path / "b.txt").write_text("3000000 1.1.1.1 5 2.2.2.2 6881 zz\n4000000 1.1.1.1 5 2.2.2.2 6881 78\n")
-    batch = spark.read.format(NAME).option("path", str(tmp_path)).load()
+    (tmp_path / "b.txt").write_text("1000000 1.1.1.1 5 2.2.2.2 6881 6431\nbroken line\n2000000 ::1 7 :: 6881\n")
+    (tmp_path / "c.txt").write_text("3000000 1.1.1.1 5 2.2.2.2 6881 zz\n4000000 1.1.1.1 5 2.2.2.2 6881 78\n")
     want = [("1.1.1.1", b"d1"), ("1.1.1.1", b"x"), ("::1", b"")]
-    assert sorted((r["remote_ip"], bytes(r["data"])) for r in batch.collect()) == want
+
+    def packets(rows):
+        return sorted((r["remote_ip"], bytes(r["data"])) for r in rows if r["reject"] is None)
+
+    batch = spark.read.format(NAME).option("path", str(tmp_path)).load().collect()
+    assert packets(batch) == want
+    assert sorted(r["reject"] for r in batch if r["reject"] is not None) == ["3000000 1.1.1.1 5 2.2.2.2 6881 zz", "broken line"]
     live = spark.readStream.format(NAME).option("path", str(tmp_path)).load()
     q = live.writeStream.format("memory").queryName("packets").start()
     q.processAllAvailable()
+    assert packets(spark.table("packets").collect()) == want
+    (tmp_path / "a.txt").write_text("5000000 9.9.9.9 5 2.2.2.2 6881 79\n")  # later, with a name that sorts first
+    q.processAllAvailable()
     q.stop()
-    assert sorted((r["remote_ip"], bytes(r["data"])) for r in spark.table("packets").collect()) == want
+    assert packets(spark.table("packets").collect()) == sorted([*want, ("9.9.9.9", b"y")])
+
+
+def test_copies_that_come_late(spark, tmp_path):
+    """A copy years after its message is no new message, in whatever batch it comes."""
+    import datetime as dt
+
+    from driftnet.plans.streams import CATALOGUE
+
+    schema = "delivery_id long, info_hash string, peer_addr string, discovered_at timestamp, received_at timestamp"
+    t0 = dt.datetime(2025, 1, 1)
+    for i, days in enumerate((3000, 0, 900)):
+        rows = [(i, "A" * 40, "10.0.0.1:80", t0, t0 + dt.timedelta(days=days)), (10 + i, f"{i}" * 40, "10.0.0.1:80", t0, t0)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "announces.parquet"))
+    got = CATALOGUE.queries["stream_dedupe"](spark, str(tmp_path)).collect()
+    assert sorted(r["info_hash"] for r in got) == sorted(["a" * 40, "0" * 40, "1" * 40, "2" * 40])
 
 
 def test_results_and_rejects(spark, tmp_path):
