@@ -15,9 +15,13 @@ hostile ones of ordinary documents teach nothing. The threshold is the one with
 the best F1 on a fifth of the rated documents that is held out. Documents rated
 both ways, or not at all, are left out.
 
-The training sample is bounded: at most MAX_LABELLED rated documents, chosen by a
-hash of their id, are sent to the driver, whole; those of more than MAX_TRAIN_CHARS
-characters are left out of the sample. Scoring has no such bound: every segment of every document is scored.
+The training sample is bounded: at most MAX_LABELLED rated documents, chosen by a hash of
+their id, and of their distinct segments (of all lengths of document) at most
+MAX_SEGMENTS, chosen by a hash, of MAX_WORDS words in all, are sent to the driver. So the
+model has at most MAX_WORDS + MAX_SEGMENTS trigrams, and the arrays that are broadcast hold at
+most MODEL_BYTES. Scoring has no bound: every segment of every document is scored.
+
+A segment is a sentence or line; a longer one than SEGMENT_WORDS words counts as several.
 
 Spelling: letter case, invisible characters, look-alike letters, letters spelled
 with separators, stretched letters, and digits inside words are undone; masked
@@ -34,15 +38,20 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftnet.llm.visual import shown
-from driftnet.llm.words import INVISIBLE
+from driftnet.llm.words import INVISIBLE, WordHashes
 
 MAX_LABELLED = 6_000
-MAX_TRAIN_CHARS = 20_000
+MAX_SEGMENTS = 200_000
+MAX_WORDS = 1_500_000
+SEGMENT_WORDS = 60
+#: Five tables of at most so many entries of 16 or 24 bytes for each of two classes.
+MODEL_BYTES = (MAX_WORDS + 2 * MAX_SEGMENTS) * 5 * 24 * 2
 LENGTH_PRIOR = 3.0
 DISCOUNT = 0.75
 ROUNDS = 2
@@ -62,6 +71,7 @@ HOSTILE = ("abuse", "hate", "sexual")
 ORDINARY = "none"
 MASKED, NUMBER, START, END = "<masked>", "<number>", "<s>", "</s>"
 _MEMO = 1_000_000
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 _BREAK = re.compile(r"[.!?]+(?=\s|$)|[。！？…]+|[\r\n]+")
 _CJK = "぀-ヿ㐀-鿿"
@@ -96,7 +106,14 @@ def plain(text: str) -> str:
         text = INVISIBLE.sub("", text)
         if _MIXED.search(text):
             text = "".join(shown(c) if c > "\x7f" else c for c in text)
-    return _STRETCHED.sub(r"\1", _SPELLED.sub(_unspelled, text.lower()))
+    text = _SPELLED.sub(_unspelled, text.lower())
+    return _STRETCHED.sub(r"\1", text) if _stretches(text) else text
+
+
+def _stretches(text: str) -> bool:
+    """Whether a character that may be a letter stands three times in a row: cheaper than the pattern."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return bool(((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (c[2:] > 64)).any())
 
 
 def segments(text: str) -> list[str]:
@@ -109,6 +126,11 @@ def tokens(segment: str) -> list[str]:
     return [t if t.isalpha() else _word(t) for t in _TOKEN.findall(segment)]
 
 
+def pieces(words: list[str]) -> list[list[str]]:
+    """The words of a segment in parts of at most SEGMENT_WORDS; none of no words."""
+    return [words[i : i + SEGMENT_WORDS] for i in range(0, len(words), SEGMENT_WORDS)]
+
+
 class _Counts:
     """Trigram counts of one class and the continuation counts of its bigrams."""
 
@@ -143,7 +165,6 @@ class Model:
                 shared[w] += 1
         self.shared, self.total = shared, sum(shared.values()) + 0.5 * (len(shared) + 1)
         self._memo: dict = {}
-        self._segments: dict = {}
 
     def _p(self, c: _Counts, u: str, v: str, w: str) -> float:
         p = (self.shared.get(w, 0) + 0.5) / self.total
@@ -175,19 +196,105 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """Score of the worst segment; 0 for a text without words."""
-        worst = -math.inf
-        for s in segments(text or ""):
-            x = self._segments.get(s)
-            if x is None:
-                words = tokens(s)
-                x = self.score_words(words) if words else -math.inf
-                if len(s) < 300:
-                    if len(self._segments) >= 100_000:
-                        self._segments.clear()
-                    self._segments[s] = x
-            if x > worst:
-                worst = x
-        return 0.0 if worst == -math.inf else worst
+        return max((self.score_words(w) for s in segments(text or "") for w in pieces(tokens(s))), default=0.0)
+
+
+def _key(*hashes: np.ndarray) -> np.ndarray:
+    """One hash of words in a row."""
+    out = hashes[0] * _MIX[0]
+    for k, h in enumerate(hashes[1:], 1):
+        out = (out ^ (out >> np.uint64(29))) * _MIX[k] + h
+    return out ^ (out >> np.uint64(32))
+
+
+class _Table:
+    """Numbers by key, in sorted arrays; missing keys give zeros."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = [np.append(v[order], 0.0) for v in values]
+
+    def of(self, keys: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(keys)) for _ in self.values]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = np.where(self.keys[at] == keys, at, len(self.keys))
+        return [v[at] for v in self.values]
+
+    def nbytes(self) -> int:
+        return self.keys.nbytes + sum(v.nbytes for v in self.values)
+
+
+class ArrayModel:
+    """What a Model says, in sorted arrays of hashed n-grams (64 bits; two n-grams of a model share a
+    hash with a probability of about n**2 / 2**65). Scores whole batches of documents at once."""
+
+    def __init__(self, model: Model):
+        ids = WordHashes()
+
+        def table(counts: dict, *more: dict) -> _Table:
+            grams = list(counts)
+            rows = [g if isinstance(g, tuple) else (g,) for g in grams]
+            keys = _key(*(ids.of(list(c)) for c in zip(*rows))) if rows else np.zeros(0, np.uint64)
+            return _Table(keys, *(np.array([c[g] for g in grams], float) for c in (counts, *more)))
+
+        self.threshold, self.total = model.threshold, float(model.total)
+        self.shared = table(model.shared)
+        self.classes = [(table(c.tri), table(c.of, c.kinds), table(c.bi), table(c.bi_of, c.bi_kinds)) for c in model.classes]
+        if self.nbytes() > MODEL_BYTES:
+            raise ValueError("the model is larger than its sample allows")
+
+    def nbytes(self) -> int:
+        return self.shared.nbytes() + sum(t.nbytes() for c in self.classes for t in c)
+
+    def ratios(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The logarithm of how much more hostile than ordinary each word w is after u and v."""
+        (seen,) = self.shared.of(_key(w))
+        uvw, uv, vw, one = _key(u, v, w), _key(u, v), _key(v, w), _key(v)
+        logs = []
+        for tri, pairs, bi, singles in self.classes:
+            p = (seen + 0.5) / self.total
+            n, kinds = singles.of(one)
+            some = np.maximum(n, 1.0)
+            p = np.where(n > 0, np.maximum(bi.of(vw)[0] - DISCOUNT, 0.0) / some + DISCOUNT * kinds / some * p, p)
+            n, kinds = pairs.of(uv)
+            some = np.where(n > 0, n, 1.0)
+            p = np.where(n > 0, np.maximum(tri.of(uvw)[0] - DISCOUNT, 0.0) / some + np.minimum(1.0, DISCOUNT * kinds / some) * p, p)
+            logs.append(np.log(p))
+        return np.where(seen > 0, logs[0] - logs[1], 0.0)
+
+    def score_segments(self, some: list[list[str]], ids: WordHashes) -> np.ndarray:
+        """The score of each piece of words."""
+        h = ids.of([x for words in some for x in (START, START, *words, END)])
+        sizes = np.array([len(words) + 3 for words in some])
+        last = np.cumsum(sizes)
+        inside = np.ones(len(h), bool)
+        inside[last - sizes] = inside[last - sizes + 1] = False
+        at = np.flatnonzero(inside)
+        r = self.ratios(h[at - 2], h[at - 1], h[at])
+        starts = np.cumsum(sizes - 2) - (sizes - 2)
+        return np.add.reduceat(r, starts) / (sizes - 3 + LENGTH_PRIOR)
+
+    def scores(self, texts: list[str | None], ids: WordHashes, memo: dict[str, float]) -> list[float]:
+        """Score of the worst segment of each text; 0 for one without words. Short segments that
+        were met before are looked up."""
+        split = [segments(t) if t else [] for t in texts]
+        fresh = list({s for some in split for s in some if s not in memo})
+        if fresh:
+            cut = [(k, p) for k, s in enumerate(fresh) for p in pieces(tokens(s))]
+            worst = np.full(len(fresh), -math.inf)
+            if cut:
+                np.maximum.at(worst, np.array([k for k, _ in cut]), self.score_segments([p for _, p in cut], ids))
+            memo.update(zip(fresh, worst.tolist()))
+        out = [max((memo[s] for s in some), default=-math.inf) for some in split]
+        if len(memo) > 100_000:
+            memo.clear()
+        else:
+            for s in fresh:
+                if len(s) >= 300:
+                    del memo[s]
+        return [0.0 if x == -math.inf else x for x in out]
 
 
 def _best_threshold(scored: list[tuple[float, bool]]) -> float:
@@ -203,9 +310,20 @@ def _best_threshold(scored: list[tuple[float, bool]]) -> float:
     return at
 
 
+Bag = Counter  # of the segments of a document, each a tuple of words
+
+
+def bag_of(text: str) -> Bag:
+    return Counter(tuple(p) for s in segments(text) for p in pieces(tokens(s)))
+
+
 def train(rated: list[tuple[str, bool]]) -> Model | None:
     """A model from (text, hostile) pairs; None without both kinds."""
-    docs = [(Counter(w for s in segments(t) if (w := tuple(tokens(s)))), y) for t, y in rated]
+    return train_bags([(bag_of(t), y) for t, y in rated])
+
+
+def train_bags(docs: list[tuple[Bag, bool]]) -> Model | None:
+    """A model from (segments, hostile) pairs; None without both kinds."""
     if not any(y for _, y in docs) or all(y for _, y in docs):
         return None
 
@@ -223,6 +341,12 @@ def train(rated: list[tuple[str, bool]]) -> Model | None:
                 # else a rater overlooked it: it teaches nothing
         return Model(_Counts(hostile.items()), _Counts(ordinary.items()), DEFAULT_THRESHOLD)
 
+    ids = WordHashes()
+
+    def scored_by(model: Model, bags: list[Bag]) -> dict[tuple[str, ...], float]:
+        every = list({w for bag in bags for w in bag})
+        return dict(zip(every, ArrayModel(model).score_segments(every, ids).tolist())) if every else {}
+
     def learn(some: list) -> Model:
         some = sorted(some, key=lambda d: d[1])  # both halves get their share of either kind
         rated = {y: Counter(w for bag, z in some if bool(z) == y for w in bag) for y in (False, True)}
@@ -230,9 +354,9 @@ def train(rated: list[tuple[str, bool]]) -> Model | None:
         kept: list[set | None] = [None] * len(some)
         for _ in range(ROUNDS):
             # each half is judged by what the other half taught
-            halves = [fit(some[1 - h :: 2], kept[1 - h :: 2]) for h in (0, 1)]
+            halves = [scored_by(fit(some[1 - h :: 2], kept[1 - h :: 2]), [b for b, _ in some[h::2]]) for h in (0, 1)]
             next_kept = [
-                {w for w in bag if w not in common and halves[i % 2].score_words(w) >= (HOSTILE_FROM if y else CLEARLY_HOSTILE)}
+                {w for w in bag if w not in common and halves[i % 2][w] >= (HOSTILE_FROM if y else CLEARLY_HOSTILE)}
                 for i, (bag, y) in enumerate(some)
             ]
             if not any(k for k, (_, y) in zip(next_kept, some) if y):
@@ -242,7 +366,8 @@ def train(rated: list[tuple[str, bool]]) -> Model | None:
 
     held_out = docs[::5]
     first = learn([d for i, d in enumerate(docs) if i % 5])
-    scored = [(max((first.score_words(w) for w in bag), default=0.0), y) for bag, y in held_out]
+    by_segment = scored_by(first, [bag for bag, _ in held_out])
+    scored = [(max((by_segment[w] for w in bag), default=0.0), y) for bag, y in held_out]
     model = learn(docs)
     if any(y for _, y in scored) and not all(y for _, y in scored):
         model.threshold = min(_best_threshold(scored), MOST_THRESHOLD)
@@ -250,28 +375,41 @@ def train(rated: list[tuple[str, bool]]) -> Model | None:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model of a bounded, hash-ordered sample of the rated documents."""
+    """The model of a bounded, hash-ordered sample of the rated documents' segments."""
     rated = labels.where(F.col("category").isin(*HOSTILE, ORDINARY)).groupBy("doc_id").agg(
         F.min((F.col("category") != ORDINARY).cast("int")).alias("low"), F.max((F.col("category") != ORDINARY).cast("int")).alias("high")
     )
     clear = rated.where(F.col("low") == F.col("high")).select("doc_id", (F.col("high") == 1).alias("hostile"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    texts = docs.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id", "text")
-    chosen = clear.orderBy(*order).limit(MAX_LABELLED)
-    rows = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("hostile").alias("hostile"))
-    return train([(r["text"], r["hostile"]) for r in rows.orderBy(*order).collect()])
+    chosen = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # MAX_LABELLED rows
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("hostile").alias("hostile")).select(F.xxhash64("doc_id").alias("doc"), "hostile", "text")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, hostile, text in zip(*(c.to_pylist() for c in batch.columns)):
+                bag = [" ".join(w) for w in bag_of(text)]
+                yield pa.record_batch([pa.array([doc] * len(bag), pa.int64()), pa.array([hostile] * len(bag), pa.bool_()), pa.array(bag, pa.string())], names=["doc", "hostile", "segment"])
+
+    parts = one.mapInArrow(split, "doc long, hostile boolean, segment string")
+    rows = parts.orderBy(F.xxhash64("doc", "segment"), "segment").limit(MAX_SEGMENTS).toPandas()
+    sizes = rows["segment"].str.count(" ").add(1).cumsum()
+    rows = rows[sizes <= MAX_WORDS].sort_values(["doc", "segment"], kind="stable")
+    bags = [(Counter(tuple(t.split(" ")) for t in g["segment"]), bool(g["hostile"].iloc[0])) for _, g in rows.groupby("doc", sort=True)]
+    return train_bags(bags)
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with score and flagged instead of the text column; columns that are
     called so are replaced."""
-    state = docs.sparkSession.sparkContext.broadcast(model and (*model.classes, model.threshold))  # bounded by the sample
+    state = docs.sparkSession.sparkContext.broadcast(model and ArrayModel(model))  # at most MODEL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*state.value) if state.value else None
+        own, ids, memo = state.value, WordHashes(), {}
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            x = [own.score(t) if own else 0.0 for t in texts]
+            x: list[float] = []
+            for at in range(0, len(texts), 500):
+                x += own.scores(texts[at : at + 500], ids, memo) if own else [0.0] * len(texts[at : at + 500])
             flags = [bool(own) and v >= own.threshold for v in x]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.float64()), pa.array(flags, pa.bool_())], names=[*batch.schema.names[:-1], "score", "flagged"])
 

@@ -95,3 +95,36 @@ def test_rates_of_any_size():
         steps = mixing.poisson_steps(rate, limit)
         assert len(steps) == limit and all(0 <= a <= b <= 1 for a, b in zip(steps, steps[1:]))
         assert abs(sum(1 - x for x in steps) - rate) < 1e-6 * rate + 1e-6
+
+
+def test_arrays_say_what_the_model_says():
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(40)]
+    rated = [(". ".join(" ".join(rnd.choices(vocab, k=rnd.randrange(1, 9))) for _ in range(4)), rnd.random() < 0.4) for _ in range(60)]
+    model = abuse.train(rated)
+    arrays = abuse.ArrayModel(model)
+    texts = [t for t, _ in rated] + ["unknown words here. w1 w2", "", None, "...", " ".join(rnd.choices(vocab, k=500))]
+    ids, memo = abuse.WordHashes(), {}
+    for _ in range(2):
+        got = arrays.scores(texts, ids, memo)
+        assert all(abs(g - model.score(t)) < 1e-9 for g, t in zip(got, texts))
+
+
+def test_long_documents_teach_too(spark, monkeypatch):
+    """A rated document of any length is part of the sample; the sample is bounded by its segments and words."""
+    letters = "abcdefghijklmnop"
+    filler = ". ".join(f"plain line q{letters[i % 16]}{letters[i // 16 % 16]}{letters[i // 256]}z of a long page" for i in range(4000))
+    docs = [(i, f"you are a vile worm {i % 3}. {filler if i == 0 else 'good day'}" if i % 2 == 0 else f"good day {i}. {filler if i == 1 else 'nice work'}") for i in range(40)]
+    assert len(docs[0][1]) > 25_000
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(abuse, "train_bags", lambda bags: seen.append(bags))
+    labels = spark.createDataFrame([(i, "r", "abuse" if i % 2 == 0 else "none") for i in range(40)], "doc_id long, rater string, category string")
+    abuse.fit_model(d, labels)
+    assert len(seen[0]) == 40 and sorted(len(b) for b, _ in seen[0])[-2:] == [4001, 4001]
+    monkeypatch.setattr(abuse, "MAX_SEGMENTS", 500)
+    abuse.fit_model(d, labels)
+    assert sum(len(b) for b, _ in seen[1]) == 500
+    monkeypatch.setattr(abuse, "MAX_WORDS", 600)
+    abuse.fit_model(d, labels)
+    assert 500 < sum(len(w) for b, _ in seen[2] for w in b) <= 600
