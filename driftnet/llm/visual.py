@@ -12,8 +12,8 @@ same shape; hyphens that only forbid a break. What is removed: characters
 without a visible form. What stays: letter case, marks, superscripts, circled and
 squared forms, and every other sign, since a reader sees those.
 
-Texts are made distinct first and shuffled once, before they are exploded, so the
-exploded rows never move. A text of ASCII characters only is its own form.
+Texts are made distinct and written once, and shuffled before they are exploded, so the
+exploded rows never move. A text that holds many rows is split when they are joined back. A text of ASCII characters only is its own form.
 
 Defined results: null has no form; a text of invisible characters has the empty
 form; texts of any length and repeated rows are allowed; empty tables give none.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftnet.llm.words import INVISIBLE
+from driftnet.operators.skew import spread_join
+from driftnet.session import cut_lineage
 
 # fixed values: letters of other scripts, and the Latin letter of the same shape
 LOOK_ALIKES = (
@@ -127,7 +129,7 @@ def _plain(text: Column) -> Column:
 
 def consistent_forms(texts: DataFrame, text: str = "text") -> DataFrame:
     """(key, text, form) of each distinct non-null text."""
-    distinct = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    distinct = cut_lineage(texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct())  # read three times
     ascii_only = distinct.where(_plain(F.col("text"))).select(text_key(F.col("text")).alias("key"), "text", F.col("text").alias("form"))
     other = distinct.where(~_plain(F.col("text"))).select(text_key(F.col("text")).alias("key"), "text").repartition("key")
     points = other.select("key", F.posexplode(F.split("text", "")).alias("pos", "ch"))
@@ -147,6 +149,6 @@ def recognised(rows: DataFrame, titles: DataFrame, text: str = "text") -> DataFr
     columns of rows that are called so are replaced. titles has title_id and title."""
     names = titles.where(F.col("title").isNotNull()).select("title_id", "title")
     shown_titles = names.join(consistent_forms(names, "title").select(F.col("text").alias("title"), "form"), "title")
-    alike = consistent_forms(rows, text).join(shown_titles, "form").select(F.col("text").alias("__text"), "title_id", "title")
+    alike = cut_lineage(consistent_forms(rows, text).join(shown_titles, "form").select(F.col("text").alias("__text"), "title_id", "title"))
     rows = rows.drop("__text", "title_id", "title")
-    return rows.join(alike, F.col(text) == F.col("__text")).drop("__text")
+    return spread_join(rows.withColumn("__text", F.col(text)), alike, "__text", rows.columns).select(*rows.columns, "title_id", "title")
