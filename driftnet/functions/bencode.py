@@ -3,10 +3,11 @@ without recursion, and the columns made of them."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from driftnet.schemas import INFO, MESSAGE
 
@@ -168,11 +169,13 @@ def read_info(data: bytes | None) -> dict | None:
 
 def _parsed(read, schema: str, data: Column | str) -> Column:
     kind = T.StructType.fromDDL(f"ok boolean, value struct<{schema}>")
+    arrow = to_arrow_type(kind)
 
-    @F.pandas_udf(kind)
-    def parse(s: pd.Series) -> pd.DataFrame:
-        got = [read(x) if x is not None else None for x in s]
-        return pd.DataFrame({"ok": [g is not None for g in got], "value": pd.Series(got, dtype=object)})
+    @F.arrow_udf(kind)
+    def parse(s: pa.Array) -> pa.Array:
+        got = [read(x) if x is not None else None for x in s.to_pylist()]
+        value = pa.array(got, arrow.field("value").type)
+        return pa.StructArray.from_arrays([pa.array([g is not None for g in got], pa.bool_()), value], fields=list(arrow))
 
     return parse(data)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +69,9 @@ def shard_capacity(total: int) -> int:
     return -(-total // SHARDS)
 
 
+_QUEUE = pa.schema([("family", pa.int32()), ("shard", pa.int32()), ("position", pa.int32()), ("address", pa.string()), ("seq", pa.int64())])
+
+
 class Frontier:
     """A bounded first-in-first-out queue that ignores addresses it holds."""
 
@@ -90,20 +93,23 @@ def bounded_queues(nodes: DataFrame, capacity: int, address: str = "address") ->
 
     Whether a push enters depends on all pushes before it, so a shard is folded
     in order; it streams through with a state of at most ``capacity`` nodes and
-    is never held as a whole. More shards give more parallel work.
+    is never held as a whole. More shards give more parallel work. A push without
+    address, shard or family is left out.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queues: dict[tuple[int, int], Frontier] = {}
-        for pdf in batches:
-            for family, shard, addr, seq in zip(pdf["family"], pdf["shard"], pdf["address"], pdf["seq"]):
+        for batch in batches:
+            for family, shard, addr, seq in zip(*(c.to_pylist() for c in batch.columns)):
                 queues.setdefault((family, shard), Frontier(capacity)).push(addr, seq)
         rows = [(f, s, i, a, q) for (f, s), queue in queues.items() for i, (a, q) in enumerate(queue.held.items())]
-        yield pd.DataFrame(rows, columns=["family", "shard", "position", "address", "seq"])
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _QUEUE)], schema=_QUEUE)
 
     pushes = nodes.where(F.col(address).isNotNull()).select(F.col("family").cast("int"), F.col("shard").cast("int"), F.col(address).alias("address"), "seq")
-    ordered = pushes.repartition(2 * SHARDS, "family", "shard").sortWithinPartitions("family", "shard", "seq", "address")
-    return ordered.mapInPandas(run, "family int, shard int, position int, address string, seq long")
+    # a place of its own for each shard of either family: by hash some would share one
+    place = F.pmod(F.col("shard"), F.lit(SHARDS)) + F.when(F.col("family") == 4, 0).otherwise(SHARDS)
+    ordered = pushes.where(F.col("shard").isNotNull() & F.col("family").isNotNull()).repartitionById(2 * SHARDS, place).sortWithinPartitions("family", "shard", "seq", "address")
+    return ordered.mapInArrow(run, "family int, shard int, position int, address string, seq long")
 
 
 def pop_batch(nodes: DataFrame, count: int, family: int | None) -> DataFrame:

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-PACKETS = "packet_id long, recv_ts timestamp, remote struct<ip:string,port:int>, local struct<ip:string,port:int>, data binary"
 ARGS = "id:binary,target:binary,info_hash:binary,token:binary,port:int,implied_port:smallint"
 REPLY = "id:binary,nodes:binary,nodes6:binary"
 MESSAGE = f"t:binary,y:string,q:string,a:struct<{ARGS}>,r:struct<{REPLY}>"
-NODES = "node_id binary, ip string, port int, family tinyint, seq long, shard int"
-ANNOUNCES = "info_hash string, peer_ip string, peer_port int, discovered_at timestamp"
-PIECES = "info_hash string, piece int, data binary, arrival long, metadata_size long"
 INFO = "name:string,piece_length:long,total_size:long,files:array<struct<path:string,size:long>>"
-TORRENTS = (
-    "info_hash string, magnet_link string, name string, total_size long, files array<struct<path:string,size:long>>, "
-    "piece_length long, peers array<string>, timestamp long"
-)
-METRICS = "metric string, label_key string, label_value string, value double, ts timestamp"
 
 #: Option names and defaults of a crawl.
 OPTIONS = {
     "port": 6881, "metadata_timeout": 3, "max_metadata_queue_size": 100_000, "max_metadata_worker_count": 1000,
     "netmode": "v4", "node_queue_capacity": 100_000, "hash_queue_capacity": 10_000,
 }
-NETMODES = ("v4", "v6", "dual")

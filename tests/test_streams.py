@@ -74,3 +74,38 @@ def test_pieces_over_batches(spark, tmp_path):
     pieces = s.select("key", "piece", "total", F.col("text").cast("binary").alias("data"))
     got = drained(assembled_pieces(pieces, None)).collect()
     assert [(r["key"], bytes(r["data"]), r["pieces"]) for r in got] == [("k", b"ab", 2)]
+
+
+def test_a_fetch_that_takes_too_long_is_given_up(spark, tmp_path):
+    """The first half of a key is forgotten after its timeout; its second half alone completes nothing."""
+    import time
+
+    schema = "key string, piece int, total int, text string"
+
+    def add(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    add(("slow", 0, 2, "a"), ("quick", 0, 2, "x"))
+    s = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    live = assembled_pieces(s.select("key", "piece", "total", F.col("text").cast("binary").alias("data")), 6000)
+    q = live.writeStream.format("memory").queryName("fetched").option("checkpointLocation", str(tmp_path / "log")).trigger(processingTime="200 milliseconds").start()
+    read = lambda: sum(p["numInputRows"] for p in q.recentProgress)
+
+    def until(rows):
+        for _ in range(100):  # such a query is never done: a timeout may always fire
+            if read() >= rows:
+                return
+            time.sleep(0.2)
+        raise AssertionError(read())
+
+    try:
+        until(2)
+        add(("quick", 1, 2, "y"))
+        until(3)
+        time.sleep(9)
+        add(("slow", 1, 2, "b"))
+        until(4)
+        time.sleep(1)
+        assert [(r["key"], bytes(r["data"])) for r in spark.table("fetched").collect()] == [("quick", b"xy")]
+    finally:
+        q.stop()
