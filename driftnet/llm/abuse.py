@@ -35,12 +35,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftnet.llm.visual import shown
@@ -380,22 +381,41 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model | None:
         F.min((F.col("category") != ORDINARY).cast("int")).alias("low"), F.max((F.col("category") != ORDINARY).cast("int")).alias("high")
     )
     clear = rated.where(F.col("low") == F.col("high")).select("doc_id", (F.col("high") == 1).alias("hostile"))
-    chosen = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # MAX_LABELLED rows
-    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("hostile").alias("hostile")).select(F.xxhash64("doc_id").alias("doc"), "hostile", "text")
+    first = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    chosen = first.withColumn("doc", F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")))  # MAX_LABELLED rows
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc").agg(F.min("text").alias("text"), F.max("hostile").alias("hostile")).select("doc", "hostile", "text")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, hostile, text in zip(*(c.to_pylist() for c in batch.columns)):
                 bag = [" ".join(w) for w in bag_of(text)]
-                yield pa.record_batch([pa.array([doc] * len(bag), pa.int64()), pa.array([hostile] * len(bag), pa.bool_()), pa.array(bag, pa.string())], names=["doc", "hostile", "segment"])
-
-    parts = one.mapInArrow(split, "doc long, hostile boolean, segment string")
-    rows = parts.orderBy(F.xxhash64("doc", "segment"), "segment").limit(MAX_SEGMENTS).toPandas()
-    sizes = rows["segment"].str.count(" ").add(1).cumsum()
-    rows = rows[sizes <= MAX_WORDS].sort_values(["doc", "segment"], kind="stable")
-    bags = [(Counter(tuple(t.split(" ")) for t in g["segment"]), bool(g["hostile"].iloc[0])) for _, g in rows.groupby("doc", sort=True)]
-    return train_bags(bags)
+                yield pa.record_batch([pa.array([doc] * len(bag), pa.int32()), pa.array([hostile] * len(bag), pa.bool_()), pa.array(bag, pa.string())], names=["doc", "hostile", "segment"])
+
+    most = MAX_WORDS
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the sample as one compressed block, each segment once with its documents
+        held: dict[str, list[int]] = {}
+        words = 0
+        for batch in batches:  # in the order of the hash
+            for doc, hostile, segment in zip(*(c.to_pylist() for c in batch.columns)):
+                words += segment.count(" ") + 1
+                if words <= most:
+                    held.setdefault(segment, []).append(2 * doc + hostile)
+        lines = [" ".join(map(str, held[s])) + "\t" + s for s in sorted(held)]
+        yield pa.record_batch([pa.array([zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"))], pa.binary())], names=["block"])
+
+    parts = one.mapInArrow(split, "doc int, hostile boolean, segment string")
+    sample = parts.orderBy(F.xxhash64("doc", "segment"), "segment").limit(MAX_SEGMENTS).mapInArrow(packed, "block binary")
+    bags: dict[int, Bag] = {}
+    for row in sample.collect():  # MAX_SEGMENTS segments of at most SEGMENT_WORDS words
+        for line in zlib.decompress(row["block"]).decode("utf-8", "surrogatepass").split("\n"):
+            keys, _, text = line.partition("\t")
+            segment = tuple(text.split(" "))
+            for key in map(int, keys.split()):
+                bags.setdefault(key, Counter())[segment] = 1
+    return train_bags([(bags[key], bool(key % 2)) for key in sorted(bags)])
 
 
 def score_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
