@@ -63,3 +63,18 @@ def test_address_key_agrees_with_socket_key(spark):
             assert r["k"] == f"{a.version}{a.packed.hex()}"
         except ValueError:
             assert r["k"] is None
+
+
+def test_odd_hashes_against_the_pattern(spark):
+    import re
+
+    h = "0123456789abcdefABCDEF0123456789abcdef01"
+    odd = [
+        h, f" {h}", f"\t{h}\n", f"URN:btih:{h}", f" urn:btih:{h} ", f"urn:btih: {h}", f"urn:btih:urn:btih:{h}", h[:-1], h + "0", h[:-1] + "g", h[:-1] + " ", " " + h, h[:39] + "١",
+        "", " ", "urn:btih:", h[:-1] + "é", h[:20] + " " + h[20:39], "x" * 5000, h[:-1] + "-", "+" + h[:-1], "0x" + h[:38],
+    ]
+    rule = re.compile(r"[ \t\n\x0b\f\r]*(?:urn:btih:)?([0-9a-f]{40})[ \t\n\x0b\f\r]*")
+    want = [m[1] if (m := rule.fullmatch(t.lower())) else None for t in odd]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)] + [(99, None)], "i int, t string")
+    got = [r["h"] for r in df.orderBy("i").select(canonical_hash("t").alias("h")).collect()]
+    assert got == [*want, None]
