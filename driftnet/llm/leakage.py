@@ -334,7 +334,7 @@ def edited_passages(items: DataFrame, docs: DataFrame, per_item: int = 12) -> Da
     hit = cut.withColumn("hit", F.transform(F.slice(order, 1, F.col("changed")), lambda x: x["i"]))
     edited = hit.withColumn("p", F.transform("p", lambda x, i: F.when(F.array_contains("hit", i), F.concat(F.lit("zq"), F.substring(F.md5(x), 1, 6))).otherwise(x)))
     doc = edited.select((F.col("item_id") * per_item + F.col("copy")).alias("doc_id"), "item_id", "changed", F.array_join("p", " ").alias("passage"))
-    hosts = docs.select("doc_id", F.col("text").alias("host")).dropDuplicates(["doc_id"])
+    hosts = docs.select("doc_id", F.col("text").alias("host")).join(doc.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     half = (F.length(F.coalesce("host", F.lit(""))) / 2).cast("int")
     return doc.join(hosts, "doc_id", "left").select(
         "doc_id", "item_id", "changed",
