@@ -22,10 +22,10 @@ def _col(c: Column | str) -> Column:
 
 
 def canonical_hash(c: Column | str) -> Column:
-    """40 lower-case hex digits, or null. Without a pattern, which would take several times as long."""
-    bare = F.lower(F.btrim(_col(c), F.lit(" \t\n\x0b\f\r")))
-    digits = F.when(bare.startswith(URN_PREFIX), F.substring(bare, len(URN_PREFIX) + 1, 1 << 30)).otherwise(bare)
-    return F.when((F.length(digits) == 40) & F.unhex(digits).isNotNull(), digits)
+    """40 lower-case hex digits, or null. A pattern, since that names its input once: what is
+    made of several tests of one text is computed several times inside a generator."""
+    bare = F.regexp_extract(F.lower(_col(c)), rf"^\s*(?:{URN_PREFIX})?([0-9a-f]{{40}})\s*$", 1)
+    return F.nullif(bare, F.lit(""))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
