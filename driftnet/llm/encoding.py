@@ -7,7 +7,8 @@ inform about each other as much as any.) Improbable runs are isolated as
 maximum-scoring segments of the improbability of their pairs. Inverse mappings
 (encode as it was shown, decode as it was meant) are tested only inside these
 runs; one is taken if the text gains enough log-probability by it. Runs are tried
-again after a repair, which undoes repeated mistakes. A character that no text is
+again after a repair, as often as one gains enough, which undoes repeated mistakes;
+repairs of a word that do not touch are made together. A character that no text is
 written in (a replacement mark, a control or unassigned code point) has probability
 zero after any other: its segment is infinitely improbable and the text is damaged,
 recoverable or not.
@@ -61,7 +62,6 @@ USUAL_BITS = 9.0
 #: Bits that a text must gain by a repair, in all and per character that was replaced.
 LEAST_GAIN = 10.0
 LEAST_GAIN_EACH = 3.0
-ROUNDS = 3
 #: Bits that each byte after the first of a UTF-8 character adds to a gain: chance seldom makes one.
 UTF8_BITS = 3.0
 #: Words that a task judges together, and words of a task.
@@ -267,11 +267,12 @@ def _inverse_mappings(run: str) -> Iterator[tuple[str, str]]:
                 yield meant, f"{shown}>{meant}", back
 
 
-def repairs(words: Sequence[str], model: PairModel, own: int = 1) -> list[tuple[float, list[tuple[float, str, str]]]]:
-    """Per word the greatest score of its improbable runs, and its sound repairs
-    (gain in bits, mapping, repaired word), best first; of each mapping the best."""
+def repairs(words: Sequence[str], model: PairModel, own: int = 1) -> list[tuple[float, list[tuple[float, str, str]], tuple[float, str] | None]]:
+    """Per word the greatest score of its improbable runs, its sound repairs (gain in
+    bits, mapping, repaired word), best first, of each mapping the best, and (gain,
+    repaired word) of all repairs that gain enough alone and touch no better one."""
     out: list[tuple[float, list]] = []
-    tests: list[tuple[int, str, str, str, str, str]] = []  # word, mapping, meant, back, its neighbourhood, the repaired word
+    tests: list[tuple[int, str, str, str, str, int, int]] = []  # word, mapping, meant, back, its neighbourhood, start and end of the run
     texts: list[str] = []
     at_now: dict[tuple[int, int, int], int] = {}
     nows: list[int] = []
@@ -290,11 +291,11 @@ def repairs(words: Sequence[str], model: PairModel, own: int = 1) -> list[tuple[
             if now == len(texts):
                 texts.append(before + run + after)
             for meant, mapping, back in _inverse_mappings(run):
-                tests.append((k, mapping, meant, back, before + back + after, word[:start] + back + word[end:]))
+                tests.append((k, mapping, meant, back, before + back + after, start, end))
                 nows.append(now)
                 texts.append(before + back + after)
     if not tests:
-        return out
+        return [(score, some, None) for score, some in out]
     costs = model.costs(texts, own)
     is_now = np.zeros(len(texts), bool)
     is_now[list(at_now.values())] = True
@@ -306,46 +307,69 @@ def repairs(words: Sequence[str], model: PairModel, own: int = 1) -> list[tuple[
     spared[is_now] = costs[is_now] - model.costs(texts_now, own, possible=True)
     gains -= np.where(single, spared[nows], 0.0)
     gains += [0.0 if t[2] != "utf-8" else UTF8_BITS * (len(t[3].encode("utf-8", "surrogatepass")) - len(t[3])) for t in tests]
+    alikes: dict[int, str] = {}
+
+    def alike_is_better(k: int, whole: str) -> bool:
+        """Not garbled, if characters of the same look explain the word better."""
+        word = words[k]
+        if k not in alikes:
+            alikes[k] = unicodedata.normalize("NFC", "".join(shown_as(c) if c > "\x7f" else c for c in word))
+        if alikes[k] == word:
+            return False
+        a, b = model.costs([f"{START}{alikes[k]}{END}", f"{START}{whole}{END}"], own)
+        return a < b
+
     best: dict[tuple[int, str], tuple[float, str]] = {}
+    apart: dict[int, list[tuple[int, int, str, float]]] = {}
+    taken: dict[int, bytearray] = {}
     for i in np.argsort(-gains, kind="stable").tolist():
-        gain, (k, mapping, meant, back, near, whole) = float(gains[i]), tests[i]
+        gain, (k, mapping, meant, back, near, start, end) = float(gains[i]), tests[i]
         if gain < LEAST_GAIN_EACH:
             break
-        if (k, mapping) in best or gain < LEAST_GAIN_EACH * sum(c > "\x7f" for c in back):
+        word, known = words[k], (k, mapping) in best
+        free = gain >= LEAST_GAIN and taken.setdefault(k, bytearray(len(word))).find(1, max(start - 1, 0), end + 1) < 0
+        if known and not free or gain < LEAST_GAIN_EACH * sum(c > "\x7f" for c in back):
             continue
         if meant != "utf-8" and (_mixes_scripts(near.strip(START + END)) or not all(map(_plain, back))):
             continue
-        best[k, mapping] = gain, whole
+        whole = word[:start] + back + word[end:]
+        if not known:
+            best[k, mapping] = gain, whole
+        if free and not alike_is_better(k, whole):
+            taken[k][start:end] = b"\1" * (end - start)
+            apart.setdefault(k, []).append((start, end, back, gain))
     for (k, mapping), (gain, whole) in best.items():
-        word = words[k]
-        alike = unicodedata.normalize("NFC", "".join(shown_as(c) if c > "\x7f" else c for c in word))
-        if alike != word:  # not garbled, if characters of the same look explain the word better
-            a, b = model.costs([f"{START}{alike}{END}", f"{START}{whole}{END}"], own)
-            if a < b:
-                continue
-        out[k][1].append((gain, mapping, whole))
-    return out
+        if not alike_is_better(k, whole):
+            out[k][1].append((gain, mapping, whole))
+    return [(score, some, _replaced(words[k], apart[k]) if k in apart else None) for k, (score, some) in enumerate(out)]
+
+
+def _replaced(word: str, apart: list[tuple[int, int, str, float]]) -> tuple[float, str]:
+    """(gain, word) with all of some repairs (start, end, new run, gain) that do not touch."""
+    parts, at = [], 0
+    for start, end, back, _ in sorted(apart):
+        parts += [word[at:start], back]
+        at = end
+    return sum(a[3] for a in apart), "".join(parts) + word[at:]
 
 
 def judge(words: Sequence[str], model: PairModel) -> list[tuple[bool, str | None, float, list[tuple[float, str, str]]]]:
     """Per word: garbled, what it was (null where that can't be told), bits gained, and
     single repairs that, by a mapping that explains other words too, may count."""
     found = repairs(words, model)
-    now, gained = list(words), [0.0] * len(words)
-    live = [k for k, (_, r) in enumerate(found) if r and r[0][0] >= LEAST_GAIN]
-    better = {k: found[k][1][0] for k in live}
-    for _ in range(ROUNDS):
-        for k, (gain, _, whole) in better.items():
+    now, gained, seen = list(words), [0.0] * len(words), [{w} for w in words]
+    better = {k: sure for k, (_, _, sure) in enumerate(found) if sure}
+    while better:  # until nothing gains enough or a text comes back
+        for k, (gain, whole) in better.items():
             now[k], gained[k] = whole, gained[k] + gain
-        if not better:
-            break
+            seen[k].add(whole)
         live = list(better)
         again = repairs([now[k] for k in live], model, own=0)
-        better = {k: r[0] for k, (_, r) in zip(live, again) if r and r[0][0] >= LEAST_GAIN}
+        better = {k: sure for k, (_, _, sure) in zip(live, again) if sure and sure[1] not in seen[k]}
     out = []
-    for word, new, gain, (score, some) in zip(words, now, gained, found):
+    for word, new, gain, (score, some, _) in zip(words, now, gained, found):
         garbled = new != word or score == math.inf
-        weak = some[:4] if new != word else [r for r in some if r[0] < LEAST_GAIN][:4] if not garbled and not gain else []
+        weak = some if new != word else [r for r in some if r[0] < LEAST_GAIN] if not garbled and not gain else []
         out.append((garbled, new if new != word and not any(map(impossible, new)) else None, gain, weak))
     return out
 

@@ -47,6 +47,36 @@ def test_garbled(spark):
     assert all(got[x] is None for x in lost)
 
 
+def shown_again(text, page, times):
+    for _ in range(times):
+        text = text.encode("utf-8").decode(page)
+    return text
+
+
+def restored(spark, texts):
+    return {r["text"]: r["restored"] for r in encoding.garbled_texts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+
+
+def test_mistakes_repeated_any_number_of_times(spark):
+    wrong = {shown_again(t, p, n): t for t, p in (("Canção verão", "cp437"), ("Große Höhle", "latin1"), ("Белая звезда", "cp850")) for n in (3, 4, 5, 6)}
+    assert restored(spark, [*(GOOD + CYRILLIC), *PLAIN, *wrong]) == wrong
+
+
+def test_any_number_of_garbled_runs_in_a_word(spark):
+    # the word as a whole was not shown in the page: what is Cyrillic was meant
+    words = ["Canção", "Mañana", "Große", "Wälder", "Höhle", "Straße"] * 5
+    wrong = {"_".join([*(shown_again(w, p, 1) for w in words[:n]), "звезда"]): "_".join([*words[:n], "звезда"]) for p in ("cp437", "latin1") for n in (4, 6, 30)}
+    assert restored(spark, [*(GOOD + CYRILLIC), *PLAIN, *wrong]) == wrong
+
+
+def test_weak_words_count_together_by_any_mapping(spark):
+    # each word alone gains too little; what the first was is the fifth of its repairs
+    cjk = ["我们的山河", "山河与我们", "大海的声音", "春天的花园", "花园与大海", "声音的山", "河与海", "我的春天", "天与山", "青いプログラム", "静かな海", "山の声", "春の海", "숨은 등대", "바다의 노래", "산과 바다"]
+    greek = ["Ήσυχη ψυχή", "μικρή θάλασσα", "άσπρη νύχτα", "ψυχή και νύχτα"]
+    wrong = {"青 海".encode("big5").decode("iso8859_2"): "青 海"}
+    assert restored(spark, [*GOOD, *CYRILLIC, *cjk, *greek, *wrong]) == wrong
+
+
 def test_no_texts(spark):
     assert encoding.garbled_texts(spark.createDataFrame([], "text string")).count() == 0
 
