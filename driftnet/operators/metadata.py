@@ -68,15 +68,16 @@ def socket_text(ip: Column, port: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Two decimals, rounded half to even, and a unit from B to TB."""
-    steps = [(0, "B"), (1, "KB"), (2, "MB"), (3, "GB")]
-    out = None
-    for power, unit in steps:
-        text = F.concat(F.bround((size.cast("decimal(38,18)") / (1024**power)).cast("decimal(38,18)"), 2).cast("decimal(30,2)").cast("string"), F.lit(f" {unit}"))
-        cond = size < 1024 ** (power + 1)
-        out = F.when(cond, text) if out is None else out.when(cond, text)
-    tera = F.concat(F.bround((size.cast("decimal(38,18)") / 1024**4).cast("decimal(38,18)"), 2).cast("decimal(30,2)").cast("string"), F.lit(" TB"))
-    return out.when(size.isNotNull(), tera)
+    """Two decimals, rounded half to even, and a unit from B to TB. Of a bigint or a whole
+    decimal of up to 31 digits; whole units and the rest apart, so that no digit is lost."""
+    units = [(1024**power, unit) for power, unit in enumerate(["B", "KB", "MB", "GB", "TB"])]
+    one, name = F.lit(units[-1][0]).cast("long"), F.lit(units[-1][1])
+    for (below, _), (amount, unit) in list(zip(units[1:], units))[::-1]:
+        one, name = F.when(size < below, F.lit(amount).cast("long")).otherwise(one), F.when(size < below, F.lit(unit)).otherwise(name)
+    n = size.cast("decimal(31,0)")
+    rest = n % one
+    number = ((n - rest) / one).cast("decimal(28,0)") + F.bround(rest.cast("decimal(38,18)") / one, 2)
+    return F.concat(number.cast("decimal(30,2)").cast("string"), F.lit(" "), name)
 
 
 def flattened_files(files: Column) -> Column:

@@ -456,7 +456,7 @@ def zero_size_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "torrents").where(F.col("total_size").isNotNull())
     s = t.select("delivery_id", F.explode(F.array(F.lit(1), F.lit(1024), F.lit(1048576))).alias("f"), "total_size")
-    return s.select("delivery_id", "f", metadata.human_size(F.col("total_size") * F.col("f")).alias("shown"))
+    return s.select("delivery_id", "f", metadata.human_size(F.col("total_size").cast("decimal(20,0)") * F.col("f")).alias("shown"))
 
 
 @query(f"WITH {TORRENTS} SELECT delivery_id, 'magnet:?xt=urn:btih:' || h AS link, coalesce(magnet_link = 'magnet:?xt=urn:btih:' || h, FALSE) AS as_stored FROM tor WHERE h IS NOT NULL")

@@ -23,6 +23,22 @@ def test_pieces_of_every_size(spark, tmp_path):
     assert got == {i: -(-max(0, s or 0) // 16384) for i, s in enumerate(sizes)}
 
 
+def test_text_of_every_size(spark, tmp_path):
+    """Sizes whose multiples are beyond a bigint; each next to a tie of two decimals."""
+    from decimal import ROUND_HALF_EVEN, Context, Decimal
+
+    sizes = [None, -5, 0, 1, 1023, 5 * 10**11, (1 << 43) - 1, 1 << 43, (1 << 43) + 1, *[(1 << 60) + (1 << 37) + i for i in (-1, 0, 1)], (1 << 63) - 1]
+    sf = stored(spark, tmp_path, "torrents", list(enumerate(sizes)), "delivery_id long, total_size long")
+    got = {(r["delivery_id"], r["f"]): r["shown"] for r in CATALOGUE.queries["format_size"](spark, sf).collect()}
+
+    def text(n):
+        power = next((p for p in range(4) if n < 1024 ** (p + 1)), 4)
+        return f"{(Context(prec=80).divide(Decimal(n), 1024**power)).quantize(Decimal('0.01'), ROUND_HALF_EVEN)} {['B', 'KB', 'MB', 'GB', 'TB'][power]}"
+
+    assert got == {(i, f): text(s * f) for i, s in enumerate(sizes) if s is not None for f in (1, 1024, 1048576)}
+    assert got[12, 1048576] == "8796093022208.00 TB" and got[9, 1] == "1048576.12 TB" and got[11, 1] == "1048576.13 TB"
+
+
 def test_union_of_every_shard(spark, tmp_path):
     rows = [(s, f) for s in range(16) for f in (4, 6) for _ in range(s % 3 + f)]
     sf = stored(spark, tmp_path, "nodes", rows, "shard int, family int")
