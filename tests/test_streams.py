@@ -53,6 +53,24 @@ def test_copies_that_come_late(spark, tmp_path):
     assert sorted(r["info_hash"] for r in got) == sorted(["a" * 40, "0" * 40, "1" * 40, "2" * 40])
 
 
+def test_a_batch_costs_what_it_holds(spark, tmp_path):
+    """Copies are found in the state: a batch is a job, and nothing stored is read again."""
+    import datetime as dt
+
+    from driftnet.plans.streams import CATALOGUE
+
+    t0 = dt.datetime(1969, 1, 1)
+    for i in range(3):
+        rows = [(i, "A" * 40, "10.0.0.1:80", t0, t0), (i, f"{i}" * 40, "[::1]:80", t0, t0), (i, "A" * 40, None, t0, t0), (i, "x", "10.0.0.1:80", t0, t0)]
+        spark.createDataFrame(rows, "delivery_id long, info_hash string, peer_addr string, discovered_at timestamp, received_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "announces.parquet"))
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    began, provider = jobs(), spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    df = CATALOGUE.queries["stream_dedupe"](spark, str(tmp_path))
+    assert jobs() - began <= 3 * 2 + 2
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+    assert sorted(r["info_hash"][0] for r in df.collect()) == ["0", "1", "2", "a"]
+
+
 def test_results_and_rejects(spark, tmp_path):
     s = folder_stream(spark, tmp_path / "in", [("d1",), ("x",), (None,)], "p string", 1)
     got: dict[str, list] = {"ok": [], "bad": []}
